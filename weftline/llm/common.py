@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,32 @@ def text_bytes(column: str = "text") -> Column:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo ``modulus`` (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    Like :func:`checkpointed`, but columnar and compressed: for larger intermediate tables.
+    The files stay until the folder is cleared, as checkpoints do.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoint-")
+        )
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
+    """Consecutive texts, gathered up to about ``most`` bytes (one text at least)."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
