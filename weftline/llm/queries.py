@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, simhash
+from weftline.llm import brown, simhash, wumanber
 from weftline.llm.common import table
 
 
@@ -18,9 +18,48 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wumanber.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], size=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_wu_manber_decontamination": op8_wu_manber_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_wu_manber_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), i AS (
+            SELECT item_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), p AS (
+            SELECT DISTINCT item_id, array_to_string(w[k : k + 9], ' ') AS win, least(len(w), 10) AS n
+            FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0
+        ), sizes AS (
+            SELECT DISTINCT n FROM p
+        ), dw AS (
+            SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win
+            FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(k) WHERE len(w) >= n
+        ), occ AS (
+            SELECT DISTINCT doc_id, k, dw.n, item_id FROM dw JOIN p USING (win, n)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_hit FROM occ, unnest(range(k, k + n)) AS t(pos) GROUP BY doc_id
+        ), own AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+    """.replace("lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
+}
