@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, simhash, wumanber
+from weftline.llm import brown, language, simhash, wumanber
 from weftline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), ["doc_id"], folds=4, held=2)
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], size=10)
     return found.select(
@@ -33,6 +37,7 @@ def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_hierarchical_language_id": op6_hierarchical_language_id,
     "op8_wu_manber_decontamination": op8_wu_manber_decontamination,
 }
 
