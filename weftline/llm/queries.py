@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, language, simhash, wumanber
+from weftline.llm import brown, language, simhash, surrogates, wumanber
 from weftline.llm.common import table
 
 
@@ -34,11 +34,16 @@ def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_hierarchical_language_id": op6_hierarchical_language_id,
     "op8_wu_manber_decontamination": op8_wu_manber_decontamination,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {
