@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, language, simhash, surrogates, wumanber
+from weftline.llm import brown, language, mixing, simhash, surrogates, wumanber
 from weftline.llm.common import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_of_ids(table(spark, sf_dir, "documents"))
+
+
 def op4_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.brown_scores(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_hierarchical_language_id": op6_hierarchical_language_id,
@@ -47,6 +52,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": mixing.mixture_sql(),
     "op8_wu_manber_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
