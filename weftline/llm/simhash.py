@@ -45,16 +45,19 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = [simhash(t.as_py(), words, seed) for t in batch.column(1)]
+        codes = [simhash(t.as_py(), words, seed) for t in batch.column(2)]
         signed = np.array(codes, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.int64())], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``, one row for each row of ``docs``; fp is the fingerprint as a signed long."""
+    """``(doc_id, th, fp)``, one row for each row of ``docs``.
+
+    ``fp`` is the fingerprint as a signed long, ``th`` a hash that tells the text of rows with one id.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("b")).mapInArrow(
-        partial(_fingerprints, words=words, seed=seed), f"doc_id {kind}, fp long"
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), text_bytes().alias("b")).mapInArrow(
+        partial(_fingerprints, words=words, seed=seed), f"doc_id {kind}, th long, fp long"
     )
 
 
@@ -127,6 +130,15 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 32) -> DataFrame:
     return pairs.unionAll(through)
 
 
+def _rooted(marked: DataFrame, max_bits: int, crowd: int) -> DataFrame:
+    """``(fp, root, least)`` for each distinct fingerprint: its class and its own smallest doc_id."""
+    codes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(codes.select("fp"), max_bits, crowd))
+    return checkpointed(
+        codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    )
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 42, crowd: int = 32) -> DataFrame:
     """Near-duplicate classes of whole texts: ``(doc_id, fp, component_id)``, one row for each row.
 
@@ -138,23 +150,31 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: in
     repeated results; an empty table gives an empty result; other columns are ignored.
     """
     marked = checkpointed(fingerprints(docs, words, seed))
-    codes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(codes.select("fp"), max_bits, crowd))
-    placed = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    placed = checkpointed(placed)
+    placed = _rooted(marked, max_bits, crowd)
     ids = checkpointed(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = checkpointed(placed.join(ids, "root").select("fp", "component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """The documents of ``docs`` that are the first (smallest doc_id) of their class; all columns kept.
+def keep_first(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 42, crowd: int = 32) -> DataFrame:
+    """One document of each class: that with the smallest doc_id (null last), then the smallest text hash.
 
-    Rows without doc_id are kept if their class has no id.  Of repeated rows with the same
-    doc_id and text, all stay: they are the same document.
+    All columns are kept.  Of repeated rows with one id and text, one stays.
     """
-    groups = near_duplicates(docs, **params)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(checkpointed(first), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    marked = checkpointed(fingerprints(docs, words, seed))
+    roots = _rooted(marked, max_bits, crowd).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+    # Per fingerprint before the join with the classes, so that hot fingerprints are one row each.
+    by_code = checkpointed(marked.groupBy("fp").agg(first.alias("one")))
+    by_root = by_code.join(roots, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    kept = checkpointed(by_root.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th")))
+    chosen = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    again = marked.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = kept.join(again, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("_id", "_th")
+    again = checkpointed(again)
+    if again.isEmpty():
+        return docs.join(kept, chosen, "left_semi")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
+    once = kept.join(again.select(F.col("_id").alias("_i"), F.col("_th").alias("_t")), same, "left_anti")
+    more = docs.join(again, chosen, "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
+    return docs.join(once, chosen, "left_semi").unionByName(more.drop("_th"))
