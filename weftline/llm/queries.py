@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, language, mixing, simhash, surrogates, wumanber
+from weftline.llm import brown, chat, language, mixing, simhash, surrogates, wumanber
 from weftline.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,10 +52,12 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_hierarchical_language_id": op6_hierarchical_language_id,
     "op8_wu_manber_decontamination": op8_wu_manber_decontamination,
+    "op9_chat_snapshot_collapse": op9_chat_snapshot_collapse,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_chat_snapshot_collapse": chat.COLLAPSE_SQL,
     "op2_source_mixing": mixing.mixture_sql(),
     "op8_wu_manber_decontamination": r"""
         WITH d AS (
