@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, chat, language, mixing, simhash, surrogates, wumanber
+from weftline.llm import brown, chat, language, mixing, simhash, surrogates, topk, wumanber
 from weftline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), ["doc_id"], folds=4, held=2)
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], size=10)
     return found.select(
@@ -51,12 +55,27 @@ QUERIES = {
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_hierarchical_language_id": op6_hierarchical_language_id,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_wu_manber_decontamination": op8_wu_manber_decontamination,
     "op9_chat_snapshot_collapse": op9_chat_snapshot_collapse,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                   CAST(coalesce(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]), 0) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op9_chat_snapshot_collapse": chat.COLLAPSE_SQL,
     "op2_source_mixing": mixing.mixture_sql(),
     "op8_wu_manber_decontamination": r"""
