@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -66,3 +67,18 @@ def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]
             group, size = [], 0
     if group:
         yield group
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, total: int, seed: int = 0) -> DataFrame:
+    """``(doc_id, by)`` of up to ``most`` rows for each value of ``by`` and about ``total`` in all, five of each at least.
+
+    Chosen by a hash of the id, in two steps, so that no task gets all rows of a large group.
+    """
+    order = F.xxhash64("doc_id", F.lit(seed))
+    found = rows.select("doc_id", by, order.alias("_o")).withColumn("_part", F.pmod("_o", F.lit(256)))
+    groups = rows.select(by).distinct().count()
+    most = max(5, min(most, total // max(1, groups)))
+    for keys in ([by, "_part"], [by]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "doc_id"))
+        found = found.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    return found.select("doc_id", by).distinct()

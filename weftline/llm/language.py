@@ -11,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from weftline.llm.common import chunks, crc_mod, text_bytes
+from weftline.llm.common import bounded_sample, chunks, crc_mod, text_bytes
 
 UNKNOWN = "und"
 
@@ -156,21 +155,6 @@ def predict(text: bytes, model: Model) -> tuple[str, float]:
     return model.members[family][lang], float(curve(sure) * curve(surer))
 
 
-def sample(labelled: DataFrame, settings: Settings, seed: int) -> DataFrame:
-    """Up to ``per_language`` rows of each language, chosen by a hash of the id; ``(doc_id, lang)``.
-
-    Two steps, so that no task gets all rows of a large language.
-    """
-    order = F.xxhash64("doc_id", F.lit(seed))
-    rows = labelled.select("doc_id", "lang", order.alias("o")).withColumn("part", F.pmod("o", F.lit(256)))
-    languages = labelled.select("lang").distinct().count()
-    most = max(5, min(settings.per_language, settings.sample // max(1, languages)))
-    for keys in (["lang", "part"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("o", "doc_id"))
-        rows = rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
-    return rows.select("doc_id", "lang").distinct()
-
-
 def _vectors(bits: int, orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +173,7 @@ def _vectors(bits: int, orders: int):
 
 def train(labelled: DataFrame, settings: Settings = Settings(), seed: int = 0) -> Model:
     """Fit on a bounded sample of ``labelled(doc_id, lang, b)``; every language found is learned."""
-    chosen = sample(labelled.where("lang IS NOT NULL"), settings, seed)
+    chosen = bounded_sample(labelled.where("lang IS NOT NULL"), "lang", settings.per_language, settings.sample, seed)
     rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
     found = rows.select("lang", "b").mapInArrow(_vectors(settings.bits, settings.orders), "lang string, at array<int>, value array<float>").toArrow()
     x = np.zeros((found.num_rows, 1 << settings.bits), np.float32)

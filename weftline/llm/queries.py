@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, chat, language, mixing, simhash, surrogates, topk, wumanber
+from weftline.llm import brown, chat, language, mixing, quality, simhash, surrogates, topk, wumanber
 from weftline.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_of_ids(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_source_mixing": op2_source_mixing,
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
