@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import brown, chat, language, mixing, quality, simhash, surrogates, topk, wumanber
+from weftline.llm import brown, chat, language, mixing, quality, simhash, surrogates, topk, urls, wumanber
 from weftline.llm.common import table
 
 
@@ -17,6 +17,19 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_of_ids(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
+
+def op3_url_host_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.brown_scores(table(spark, sf_dir, "documents"))
 
@@ -57,6 +70,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_source_mixing": op2_source_mixing,
+    "op3_url_host_segmentation": op3_url_host_segmentation,
     "op4_brown_lm_scoring": op4_brown_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_hierarchical_language_id": op6_hierarchical_language_id,
