@@ -33,21 +33,33 @@ SYLLABLES = {
 _ALL_GIVEN = " ".join(GIVEN.values()).split()
 _NAME = r"\p{Lu}\p{Ll}+"
 
-#: The kinds of entities and their patterns; where two fit at one place, the first counts.
+#: The kinds of entities and their patterns; where two fit at one place, the first counts.  Each starts with a
+#: look at one character, so that most places of a text are passed at once.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}+.(-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "email": r"(?=[\p{L}\p{N}._%+-])(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "ip": r"(?=\d)(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)",
+    "phone": (
+        r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)"
+        r"|(?=[\d(])(?<![\p{L}\p{N}+.(-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+    ),
+    "ssn": r"(?=\d)(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "secret": (
-        r"(?<![\p{L}\p{N}])(?=\d*+[a-fA-F])[0-9a-fA-F]{24,}+(?![\p{L}\p{N}])"
-        r"|(?<![\p{L}\p{N}])(?:AKIA|ghp_|sk-)[\w-]{12,}+"
+        r"(?=[0-9a-fA-F])(?<![\p{L}\p{N}])(?=\d*+[a-fA-F])[0-9a-fA-F]{24,}+(?![\p{L}\p{N}])"
+        r"|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA|ghp_|sk-)[\w-]{12,}+"
     ),
-    "card": r"(?<![\p{L}\p{N}])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\p{N}])",
-    "given": rf"(?<!\p{{L}})(?:{'|'.join(sorted(_ALL_GIVEN))})(?= {_NAME})",
-    "surname": rf"(?<=(?<!\p{{L}})(?:{'|'.join([*TITLES.split(), *_ALL_GIVEN])})\.? ){_NAME}",
+    "card": r"(?=\d)(?<![\p{L}\p{N}])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\p{N}])",
+    "given": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(sorted(_ALL_GIVEN))})(?= {_NAME})",
+    "surname": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join([*TITLES.split(), *_ALL_GIVEN])})\.? ){_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity but names and keys holds a digit or an @, and names follow a title or a given name.
+_SIGN = r"[0-9@]"
+_WORD_SIGN = rf"(?=[\p{{Lu}}gs])(?<!\p{{L}})(?:(?:{'|'.join([*TITLES.split(), *sorted(_ALL_GIVEN)])})\.? \p{{Lu}}|AKIA|ghp_|sk-)|(?=[a-fA-F])(?<![\p{{L}}\p{{N}}])[a-fA-F]{{24}}"
+
+
+def has_entity(text: Column) -> Column:
+    """Whether a text holds any entity (null: no).  Texts without a sign of one are told by a short look."""
+    return F.coalesce((text.rlike(_SIGN) | text.rlike(_WORD_SIGN)) & text.rlike(ANY), F.lit(False))
 
 
 def mentions(text: Column) -> Column:
@@ -127,20 +139,36 @@ def luhn_digit(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """A replacement of the same kind, drawn from a keyed hash of the entity and the attempt.
+def with_streams(entities: DataFrame, key: str) -> DataFrame:
+    """``entities(kind, entity, attempt)`` with the keyed hashes that :func:`surrogate` draws from.
+
+    Checkpointed, so that a hash is computed once and not for each character that is drawn from it.
+    """
+    keyed = lambda *x: F.sha2(F.concat_ws("\x1f", F.lit(key), F.col("kind"), *x), 512)
+    host = F.when(F.col("kind") == "email", F.regexp_replace(F.substring_index("entity", "@", -1), r"\.[^.]*$", ""))
+    again = F.col("attempt").cast("string")
+    return checkpointed(
+        entities.withColumns(
+            {
+                "_stream": F.concat(keyed(F.col("entity"), again, F.lit("a")), keyed(F.col("entity"), again, F.lit("b"))),
+                "_host": host,
+                "_of_host": F.when(host.isNotNull(), F.concat(keyed(host, F.lit("a")), keyed(host, F.lit("b")))),
+            }
+        )
+    )
+
+
+def surrogate() -> Column:
+    """A replacement of the same kind for a row of :func:`with_streams`.
 
     An e-mail keeps its shape and ends in the reserved domain ``example``; its domain depends on the original
     domain alone, so that addresses of one domain stay together.  IP addresses stay valid addresses; phone
     numbers keep their first digit, cards their first digit and whether the check digit is
     right; secrets keep length and alphabet; given names keep gender and script, surnames the script.
     """
-    keyed = lambda *x: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, *x), 512)
-    again = attempt.cast("string")
-    stream = F.concat(keyed(entity, again, F.lit("a")), keyed(entity, again, F.lit("b")))
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    host = F.regexp_replace(domain, r"\.[^.]*$", "")
-    of_domain = F.concat(keyed(host, F.lit("a")), keyed(host, F.lit("b")))
+    kind, entity, attempt = F.col("kind"), F.col("entity"), F.col("attempt")
+    stream, host, of_domain = F.col("_stream"), F.col("_host"), F.col("_of_host")
+    local = F.substring_index(entity, "@", 1)
     octet = lambda i, low, n: (F.pmod(_draw(stream, F.lit(i)), F.lit(n)) + low).cast("string")
     first, size = F.substr(entity, F.lit(1), F.lit(1)), F.length(entity)
     body = F.concat(first, _written(F.substr(entity, F.lit(2), size - 1), stream))
@@ -185,7 +213,8 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
     A surrogate that two entities share, or that is itself an entity of the corpus, is drawn
     again for all but the first (by attempt, then by name) until none is left.
     """
-    placed = checkpointed(entities.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.lit(0), key)))
+    drawn = with_streams(entities.withColumn("attempt", F.lit(0)), key)
+    placed = checkpointed(drawn.select("kind", "entity", "attempt", surrogate().alias("new")))
     real = placed.select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
     for _ in range(max_rounds):
         owner = placed.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("owner"), F.count(F.lit(1)).alias("n"))
@@ -193,12 +222,10 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
         if taken.isEmpty():
             return placed.select("kind", "entity", "new")
         again = F.col("owner").isNotNull() & (F.col("real").isNotNull() | (F.col("owner.entity") != F.col("entity")))
-        attempt = F.col("attempt") + F.when(again, 1).otherwise(0)
-        placed = placed.join(taken, ["kind", "new"], "left").select(
-            "kind", "entity", attempt.alias("attempt"),
-            F.when(again, surrogate(F.col("kind"), F.col("entity"), attempt, key)).otherwise(F.col("new")).alias("new"),
-        )
-        placed = checkpointed(placed)
+        marked = checkpointed(placed.join(taken, ["kind", "new"], "left").withColumn("again", again))
+        losers = marked.where("again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        drawn = with_streams(losers, key).select("kind", "entity", "attempt", surrogate().alias("new"))
+        placed = checkpointed(marked.where("NOT again").select("kind", "entity", "attempt", "new").unionAll(drawn))
     raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
 
 
@@ -221,8 +248,8 @@ def replace_entities(docs: DataFrame, key: str = "weftline") -> DataFrame:
     """
     columns = [c for c in docs.columns if c != "n_replaced"]
     docs = docs.select(*columns)
-    with_any = docs.where(F.col("text").rlike(ANY))
-    without = docs.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False)))
+    with_any = docs.where(has_entity(F.col("text")))
+    without = docs.where(~has_entity(F.col("text")))
     said = _keyed(with_any.select("text")).select(*_KEY, F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
     said = said.withColumn("kind", kind_of(F.col("mention")))
     said = checkpointed(said.withColumn("entity", canonical(F.col("mention"), F.col("kind"))).distinct())
