@@ -1 +1 @@
-
+"""Relational, graph and iterative operators over DataFrames."""
