@@ -52,11 +52,8 @@ def using_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Equality on ``keys``: the keys once (of both sides for an outer join), then the other columns of each side."""
     if missing := [k for k in keys if k not in left.columns or k not in right.columns]:
         raise WeftlineError(f"{missing} not found on both sides of the join")
-    if how in ("left_semi", "left_anti", "semi", "anti"):
-        return left.join(right, list(keys), how)
-    return left.join(right, list(keys), how).select(
-        *keys, *[left[c] for c in left.columns if c not in keys], *[right[c] for c in right.columns if c not in keys]
-    )
+    # With names to join on, Spark puts the columns in that order itself.
+    return left.join(right, list(keys), how)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
