@@ -72,13 +72,14 @@ def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]
 def bounded_sample(rows: DataFrame, by: str, most: int, total: int, seed: int = 0) -> DataFrame:
     """``(doc_id, by)`` of up to ``most`` rows for each value of ``by`` and about ``total`` in all, five of each at least.
 
-    Chosen by a hash of the id, in two steps, so that no task gets all rows of a large group.
+    Chosen by a hash of the id, in two steps: each of 256 parts of a group gives four times its share at
+    most (so all of a small group), and the first of these are taken.  No task gets a large group.
     """
     order = F.xxhash64("doc_id", F.lit(seed))
     found = rows.select("doc_id", by, order.alias("_o")).withColumn("_part", F.pmod("_o", F.lit(256)))
     groups = rows.select(by).distinct().count()
     most = max(5, min(most, total // max(1, groups)))
-    for keys in ([by, "_part"], [by]):
+    for keys, first in (([by, "_part"], -(-4 * most // 256)), ([by], most)):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "doc_id"))
-        found = found.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+        found = found.withColumn("_rank", rank).where(F.col("_rank") <= first).drop("_rank")
     return found.select("doc_id", by).distinct()
