@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,20 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.plans.materialize import checkpointed, shared_folder
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and cut from its lineage.
+__all__ = ["Guarded", "bounded_sample", "checkpointed", "chunks", "crc_mod", "stored", "table", "text_bytes"]
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a session without
-    one (a local test) gets a folder of its own.
+
+class Guarded:
+    """A table under column names of our own, so that no name of an input column can clash with ours.
+
+    ``guarded["text"]`` is our name for a column (the first, if several have the name).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoint-")
-        )
-    return df.checkpoint(eager=True)
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"_in{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        return f"_in{self.names.index(name)}"
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        """The input's columns of ``df`` under their names again."""
+        return df.select(*self.df.columns).toDF(*self.names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,14 +52,9 @@ def stored(df: DataFrame) -> DataFrame:
     Like :func:`checkpointed`, but columnar and compressed: for larger intermediate tables.
     The files stay until the folder is cleared, as checkpoints do.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoint-")
-        )
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:

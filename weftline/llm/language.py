@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, chunks, crc_mod, text_bytes
+from weftline.llm.common import Guarded, bounded_sample, chunks, crc_mod, text_bytes
 
 UNKNOWN = "und"
 
@@ -123,7 +123,7 @@ def fit(x: np.ndarray, langs: list[str], settings: Settings) -> Model:
     for group, known in enumerate(members):
         for i, j in combinations(range(len(known)), 2):
             separate(group, i, j, lang == known[i], lang == known[j])
-    return Model(names, members, pairs, np.array(weights, np.float32).reshape(len(pairs), -1).T, settings)
+    return Model(names, members, pairs, np.array(weights, np.float32).reshape(len(pairs), x.shape[1] + 1).T, settings)
 
 
 def _winner(size: int, margins: list[tuple[int, int, float]]) -> tuple[int, float]:
@@ -202,26 +202,35 @@ def _predicted(sent, kept: list[str]):
     return run
 
 
+def _identified(g: Guarded, kept: list[str], folds: int, held: int, settings: Settings) -> DataFrame:
+    marked = g.df.withColumn("_held", crc_mod(g["doc_id"], folds) == held)
+    labelled = marked.where(~F.col("_held")).select(F.col(g["doc_id"]).alias("doc_id"), F.col(g["lang"]).alias("lang"), text_bytes(g["text"]).alias("b"))
+    model = train(labelled, settings)
+    chosen = marked.select(*kept, F.col("_held").alias("held_out"), text_bytes(g["text"]).alias("_bytes"))
+    names = chosen.columns[:-1]
+    outer = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    sent = g.df.sparkSession.sparkContext.broadcast(model)
+    return chosen.mapInArrow(_predicted(sent, names), f"{outer}, lang_pred string, score double")
+
+
 def identify(docs: DataFrame, columns: list[str], folds: int = 4, held: int = 2, settings: Settings = Settings()) -> DataFrame:
     """``docs[columns]`` with ``held_out, lang_pred, score``, one row for each row.
 
     Learns from text and lang of the rows whose ``crc32(doc_id) mod folds`` isn't ``held`` and whose
-    lang isn't null, on a bounded sample of them (see :class:`Settings`).  Predictions
+    lang isn't null, on a bounded sample of them (see :class:`Settings`; rows without doc_id aren't in it).  Predictions
     depend on the text alone.  A null text, or one without letters, is ``und`` with score 0; so is
     everything if no lang is known.  Equal texts get equal results; other columns pass unseen.
     """
-    marked = docs.withColumn("_held", crc_mod("doc_id", folds) == held)
-    model = train(marked.where(~F.col("_held")).select("doc_id", "lang", text_bytes().alias("b")), settings)
-    chosen = marked.select(*columns, F.col("_held").alias("held_out"), text_bytes().alias("_bytes"))
-    kept = chosen.columns[:-1]
-    outer = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), kept), f"{outer}, lang_pred string, score double")
+    g = Guarded(docs)
+    found = _identified(g, [g[c] for c in columns], folds, held, settings)
+    return found.toDF(*columns, "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, **params) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.0, folds: int = 4, held: int = 2, settings: Settings = Settings()) -> DataFrame:
     """The documents whose language is told (not ``und``, score of ``least`` or more), all columns kept.
 
     A missing lang is filled in with the prediction.
     """
-    told = identify(docs, docs.columns, **params).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    g = Guarded(docs)
+    told = _identified(g, g.df.columns, folds, held, settings).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return g.restored(told.withColumn(g["lang"], F.coalesce(g["lang"], "lang_pred")))

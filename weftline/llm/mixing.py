@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import checkpointed, stored
+from weftline.llm.common import Guarded, checkpointed, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leaves up to which their plan is sent to every task; beyond it the documents are joined by shuffle.
@@ -37,10 +37,10 @@ def domain_of(source: Column) -> Column:
     return F.element_at(F.array(F.lit("web"), F.lit("reference"), F.lit("forum")), F.ascii(F.right(source, F.lit(1))) % 3 + 1)
 
 
-def with_tree(docs: DataFrame) -> DataFrame:
+def with_tree(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` with the names of their branch in ``_domain, _lang, _source``; null names are ``unknown``."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("unknown"))
-    return docs.withColumns({"_domain": domain_of(source), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "_source": source})
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    return docs.withColumns({"_domain": domain_of(named(source)), "_lang": named(lang), "_source": named(source)})
 
 
 def n_tokens(text: Column) -> Column:
@@ -110,8 +110,9 @@ def allocate(leaves: DataFrame, settings: Settings) -> DataFrame:
     return above.select(*columns, "tokens", "target")
 
 
-def _order(seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+def _order(seed: int, doc_id: str = "doc_id") -> Column:
+    """Where a document stands in its leaf's partial epoch, the one after the ``full`` ones."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
 
 
 def _with_leaf(rows: DataFrame, leaves: DataFrame, n: int) -> DataFrame:
@@ -153,17 +154,18 @@ def plan(slim: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
     return checkpointed(leaves), n
 
 
-def take(rows: DataFrame, leaves: DataFrame, n: int, settings: Settings) -> DataFrame:
+def take(rows: DataFrame, leaves: DataFrame, n: int, settings: Settings, doc_id: str = "doc_id") -> DataFrame:
     """``rows`` repeated for each epoch that takes them, in ``epoch`` (from 0)."""
     at = _with_leaf(rows, leaves.select(*[f"_{v}" for v in LEVELS], "full", "last"), n)
-    part = F.when(_order(settings.seed) <= F.col("last"), 1).otherwise(0)
+    part = F.when(_order(settings.seed, doc_id) <= F.col("last"), 1).otherwise(0)
     passes = F.expr("full").cast("int") + part
     at = at.withColumn("_passes", passes).where("_passes > 0")
     return at.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1))).drop("_passes", "full", "last")
 
 
 def slim_table(docs: DataFrame) -> DataFrame:
-    return stored(with_tree(docs).select("doc_id", *[f"_{v}" for v in LEVELS], n_tokens(F.col("text")).alias("n_tokens")))
+    rows = docs.select("doc_id", "text", "lang", "source")
+    return stored(with_tree(rows).select("doc_id", *[f"_{v}" for v in LEVELS], n_tokens(F.col("text")).alias("n_tokens")))
 
 
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -177,8 +179,9 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     An empty table gives an empty mixture.  A column ``epoch`` of the input is replaced.
     """
     leaves, n = plan(slim_table(docs), settings)
-    rows = with_tree(docs.drop("epoch")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return take(rows, leaves, n, settings).drop(*[f"_{v}" for v in LEVELS])
+    g = Guarded(docs.drop("epoch"))
+    rows = with_tree(g.df, g["lang"], g["source"]).where(F.col(g["text"]).rlike(r"[^\x20\x09-\x0D]"))
+    return take(rows, leaves, n, settings, g["doc_id"]).select(*g.df.columns, "epoch").toDF(*g.names, "epoch")
 
 
 def mixture_of_ids(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

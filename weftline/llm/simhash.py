@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import checkpointed, text_bytes
+from weftline.llm.common import Guarded, checkpointed, text_bytes
 from weftline.llm.components import connected_components
 
 BITS = 64
@@ -168,13 +168,14 @@ def keep_first(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 4
     by_code = checkpointed(marked.groupBy("fp").agg(first.alias("one")))
     by_root = by_code.join(roots, "fp").groupBy("root").agg(F.min("one").alias("one"))
     kept = checkpointed(by_root.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th")))
-    chosen = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
     again = marked.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = kept.join(again, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("_id", "_th")
     again = checkpointed(again)
+    g = Guarded(docs)
+    chosen = F.col(g["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(g["text"]) == F.col("_th"))
     if again.isEmpty():
-        return docs.join(kept, chosen, "left_semi")
+        return g.restored(g.df.join(kept, chosen, "left_semi"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
     once = kept.join(again.select(F.col("_id").alias("_i"), F.col("_th").alias("_t")), same, "left_anti")
-    more = docs.join(again, chosen, "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
-    return docs.join(once, chosen, "left_semi").unionByName(more.drop("_th"))
+    more = g.df.join(again, chosen, "left_semi").withColumn("_th", F.xxhash64(g["text"])).dropDuplicates([g["doc_id"], "_th"])
+    return g.restored(g.df.join(once, chosen, "left_semi")).unionAll(g.restored(more))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import checkpointed
+from weftline.llm.common import Guarded, checkpointed
 
 # Given names by gender and script, and titles by gender.
 GIVEN = {
@@ -232,9 +232,9 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
 _KEY = ("_k1", "_k2")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """With a 128-bit key of the text: equal texts share one set of surrogates."""
-    return docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), F.col("text"))})
+    return docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), F.col(text))})
 
 
 def replace_entities(docs: DataFrame, key: str = "weftline") -> DataFrame:
@@ -243,14 +243,12 @@ def replace_entities(docs: DataFrame, key: str = "weftline") -> DataFrame:
     The same entity gets the same surrogate in every text and every way of writing it (separators of numbers,
     upper case), different entities get different ones, and without the ``key`` they can't be
     told.  Null texts stay null with 0 replaced; empty texts and texts without entities stay as they are;
-    repeated rows stay repeated.  All other columns are kept; no input column may be
-    named ``_k1``, ``_k2``, ``_new`` or ``n_replaced`` (an ``n_replaced`` column is overwritten).
+    repeated rows stay repeated.  All other columns are kept, but an ``n_replaced`` of the input is replaced.
     """
-    columns = [c for c in docs.columns if c != "n_replaced"]
-    docs = docs.select(*columns)
-    with_any = docs.where(has_entity(F.col("text")))
-    without = docs.where(~has_entity(F.col("text")))
-    said = _keyed(with_any.select("text")).select(*_KEY, F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
+    g = Guarded(docs.drop("n_replaced"))
+    text = F.col(g["text"])
+    with_any, without = g.df.where(has_entity(text)), g.df.where(~has_entity(text))
+    said = _keyed(with_any, g["text"]).select(*_KEY, F.explode(F.array_distinct(mentions(text))).alias("mention"))
     said = said.withColumn("kind", kind_of(F.col("mention")))
     said = checkpointed(said.withColumn("entity", canonical(F.col("mention"), F.col("kind"))).distinct())
     news = assign(said.select("kind", "entity").distinct(), key)
@@ -258,11 +256,11 @@ def replace_entities(docs: DataFrame, key: str = "weftline") -> DataFrame:
         *_KEY, F.struct("mention", shaped(F.col("mention"), F.col("kind"), F.col("new")).alias("new")).alias("pair")
     )
     maps = checkpointed(told.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list("pair")).alias("_new")))
-    parts = F.split("text", ANY, -1)
-    found = F.transform(mentions(F.col("text")), lambda m: F.element_at(F.col("_new"), m))
+    parts = F.split(text, ANY, -1)
+    found = F.transform(mentions(text), lambda m: F.element_at(F.col("_new"), m))
     joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = _keyed(with_any).join(maps, list(_KEY)).select(
-        *[F.col(c) if c != "text" else joined.alias("text") for c in columns],
-        F.size(mentions(F.col("text"))).cast("long").alias("n_replaced"),
+    done = _keyed(with_any, g["text"]).join(maps, list(_KEY)).select(
+        *[F.col(c) if c != g["text"] else joined.alias(c) for c in g.df.columns],
+        F.size(mentions(text)).cast("long").alias("n_replaced"),
     )
-    return done.unionByName(without.withColumn("n_replaced", F.lit(0).cast("long")))
+    return done.unionAll(without.withColumn("n_replaced", F.lit(0).cast("long"))).toDF(*g.names, "n_replaced")

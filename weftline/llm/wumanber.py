@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, text_bytes
+from weftline.llm.common import Guarded, chunks, text_bytes
 
 #: A-Z to lower case; digits, a-z and all bytes beyond ASCII kept; everything else parts words.
 _WORDS = bytes(
@@ -159,6 +159,14 @@ def _item_blocks(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[str |
         yield block
 
 
+def _searched(g: Guarded, kept: list[str], items: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    context = g.df.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in _item_blocks(items, block_bytes)]
+    chosen = g.df.select(*kept, text_bytes(g["text"]).alias("_bytes"))
+    outer = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    return chosen.mapInArrow(_hits(blocks, size, kept), f"{outer}, {_FOUND}")
+
+
 def search(docs: DataFrame, items: DataFrame, columns: list[str], size: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """``docs[columns]`` with ``n_words, n_hit, spans, item_ids``, one row for each row of ``docs(.., text)``.
 
@@ -172,15 +180,12 @@ def search(docs: DataFrame, items: DataFrame, columns: list[str], size: int = 10
     Items are searched in blocks of about ``block_bytes`` of text (the longest item at least):
     a task holds the tables of a few blocks only, whatever the number of items.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in _item_blocks(items, block_bytes)]
-    chosen = docs.select(*columns, text_bytes().alias("_bytes"))
-    outer = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(_hits(blocks, size, columns), f"{outer}, {_FOUND}")
+    g = Guarded(docs)
+    found = _searched(g, [g[c] for c in columns], items, size, block_bytes)
+    return found.toDF(*columns, "n_words", "n_hit", "spans", "item_ids")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """The documents without any window of ``items``; all columns kept."""
-    kept = docs.columns
-    clean = search(docs, items, kept, size).where("n_hit = 0")
-    return clean.select(*kept)
+    g = Guarded(docs)
+    return g.restored(_searched(g, g.df.columns, items, size, block_bytes).where("n_hit = 0"))
