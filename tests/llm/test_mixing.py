@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+from dataclasses import replace
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import crowded, prose
+from weftline.llm import mixing
+
+SETTINGS = mixing.Settings()
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(51)
+    rows = []
+    for i in range(400):
+        source = "src0" if rng.random() < 0.35 else f"src{rng.randint(1, 9)}"
+        rows.append((i, prose(rng, rng.randint(0, 30)), rng.choice(["en", "en", "de", None, "xx"]), source if rng.random() < 0.95 else None))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [0, 1, 35, 80, 150, 400])
+def test_mixture_against_sql(spark, make_docs, corpus, percent, tmp_path):
+    settings = replace(SETTINGS, percent=percent)
+    docs = make_docs(corpus)
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    want = con.execute(mixing.mixture_sql(settings, f"'{tmp_path}/d/*.parquet'")).fetchall()
+    got = mixing.mixture_of_ids(docs, settings).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch").collect()
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    whole = mixing.mix(docs, settings).select("doc_id", "epoch").collect()
+    assert Counter(tuple(r) for r in whole) == Counter((r.doc_id, r.epoch) for r in got)
+
+
+def fill(budget: int, children: list[tuple[str, int, int]]) -> dict[str, float]:
+    """Water filling by repetition: (name, weight, cap)."""
+    out, open_, left = {}, list(children), float(budget)
+    while open_:
+        total = sum(w for _, w, _ in open_)
+        full = [c for c in open_ if c[2] <= left * c[1] / total + 1e-9]
+        if not full:
+            return out | {n: left * w / total for n, w, _ in open_}
+        out |= {n: c for n, _, c in full}
+        left -= sum(c for _, _, c in full)
+        open_ = [c for c in open_ if c not in full]
+    return out
+
+
+def test_share_against_repeated_filling(spark):
+    rng = random.Random(6)
+    for _ in range(8):
+        children = [(f"c{i}", rng.randint(1, 9), rng.randint(0, 100)) for i in range(rng.randint(1, 8))]
+        budget = rng.randint(0, sum(c for _, _, c in children))
+        rows = spark.createDataFrame([("p", n, w, c, budget) for n, w, c in children], "p string, n string, weight long, cap long, budget long")
+        got = {r.n: r.target for r in mixing.share(rows, ["p"], "n").collect()}
+        want = fill(budget, children)
+        assert sum(got.values()) == budget
+        assert all(abs(got[n] - want[n]) <= 1 for n in want) and all(got[n] <= c for n, _, c in children)
+
+
+def test_targets_are_met_to_less_than_a_document(spark, make_docs, corpus):
+    docs = make_docs(corpus)
+    slim = mixing.slim_table(docs)
+    leaves, n = mixing.plan(slim, SETTINGS)
+    targets = {(r._domain, r._lang, r._source): r.target for r in leaves.collect()}
+    used = Counter()
+    for r in mixing.mixture_of_ids(docs).collect():
+        used[(r.domain, r.lang, r.source)] += r.n_tokens
+    total = sum(r.n_tokens for r in slim.collect())
+    assert sum(targets.values()) == total * SETTINGS.percent // 100
+    assert all(0 <= t - used[k] < 31 for k, t in targets.items())
+
+
+def test_seeds_and_epochs_give_other_orders(make_docs, corpus):
+    docs = make_docs(corpus)
+    one, two = (Counter((r.doc_id, r.epoch) for r in mixing.mixture_of_ids(docs, replace(SETTINGS, percent=20, seed=s)).collect()) for s in (1, 2))
+    assert one != two
+    assert max(r.epoch for r in mixing.mixture_of_ids(docs, replace(SETTINGS, percent=400)).collect()) == SETTINGS.epochs - 1
+
+
+def test_a_weight_of_zero_leaves_a_subtree_out(make_docs, corpus):
+    settings = replace(SETTINGS, weights={**SETTINGS.weights, "lang": {"en": 0}})
+    langs = {r.lang for r in mixing.mixture_of_ids(make_docs(corpus), settings).collect()}
+    assert "en" not in langs and "de" in langs
+
+
+def test_shuffled_plan_beyond_the_size_bound(monkeypatch, make_docs, corpus):
+    docs = make_docs(corpus)
+    sent = Counter(tuple(r) for r in mixing.mixture_of_ids(docs).collect())
+    monkeypatch.setattr(mixing, "SENT_LEAVES", 0)
+    assert Counter(tuple(r) for r in mixing.mixture_of_ids(docs).collect()) == sent
+
+
+def test_odd_rows_and_clashing_names(odd_docs, empty_docs):
+    docs = crowded(odd_docs).withColumn("epoch", F.lit("mine"))
+    out = mixing.mix(docs, replace(SETTINGS, percent=100))
+    assert out.columns == [c for c in docs.columns if c != "epoch"] + ["epoch"]
+    assert not {r.doc_id for r in out.collect()} & {1, 2, 3}
+    assert mixing.mix(empty_docs).count() == 0 and mixing.mixture_of_ids(empty_docs).count() == 0
