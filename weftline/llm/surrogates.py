@@ -39,7 +39,7 @@ PATTERNS = {
     "email": r"(?=[\p{L}\p{N}._%+-])(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": r"(?=\d)(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)",
     "phone": (
-        r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)"
+        r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)(?!\.\d)"
         r"|(?=[\d(])(?<![\p{L}\p{N}+.(-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
     ),
     "ssn": r"(?=\d)(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -47,7 +47,7 @@ PATTERNS = {
         r"(?=[0-9a-fA-F])(?<![\p{L}\p{N}])(?=\d*+[a-fA-F])[0-9a-fA-F]{24,}+(?![\p{L}\p{N}])"
         r"|(?=[Ags])(?<![\p{L}\p{N}])(?:AKIA|ghp_|sk-)[\w-]{12,}+"
     ),
-    "card": r"(?=\d)(?<![\p{L}\p{N}])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\p{N}])",
+    "card": r"(?=\d)(?<![\p{L}\p{N}])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\p{N}])(?!\.\d)",
     "given": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(sorted(_ALL_GIVEN))})(?= {_NAME})",
     "surname": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join([*TITLES.split(), *_ALL_GIVEN])})\.? ){_NAME}",
 }
@@ -174,6 +174,7 @@ def surrogate() -> Column:
     body = F.concat(first, _written(F.substr(entity, F.lit(2), size - 1), stream))
     card = F.substr(body, F.lit(1), size - 1)
     was_right = luhn_digit(F.substr(entity, F.lit(1), size - 1)) == F.substr(entity, size, F.lit(1))
+    wrong = F.pmod(luhn_digit(card).cast("int") + 1 + F.pmod(_draw(stream, F.lit(64)), F.lit(9)), F.lit(10)).cast("string")
     names = F.lit(None).cast("string")
     for known in GIVEN.values():
         names = F.when(entity.isin(known.split()), _pick(known.split(), _draw(stream, F.lit(1)))).otherwise(names)
@@ -186,7 +187,7 @@ def surrogate() -> Column:
     return (
         F.when(kind == "email", F.concat(_written(local, stream), F.lit("@"), _written(host, of_domain), F.lit(".example")))
         .when(kind == "ip", F.concat_ws(".", octet(1, 1, 223), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254)))
-        .when(kind == "card", F.concat(card, F.when(was_right, luhn_digit(card)).otherwise(F.substr(body, size, F.lit(1)))))
+        .when(kind == "card", F.concat(card, F.when(was_right, luhn_digit(card)).otherwise(wrong)))
         .when(kind == "secret", F.when(entity.rlike("^[0-9a-f]+$"), _hex(entity, stream)).otherwise(_written(entity, stream)))
         .when(kind == "given", F.concat(names, ending))
         .when(kind == "surname", surnames)
