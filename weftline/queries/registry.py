@@ -42,5 +42,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def session(spark: SparkSession, folder: str) -> Session:
-    """A session with views of the tables of ``folder``."""
-    return Session.of(spark).register_tables(folder, TABLES, KEYS)
+    """A session with views of the tables of ``folder``; asked for the same folder again, they are there."""
+    found = Session.of(spark)
+    if found.folder != folder:
+        found.register_tables(folder, TABLES, KEYS).folder = folder
+    return found

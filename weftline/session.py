@@ -24,6 +24,7 @@ class Session:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.catalog, self.functions = spark, Catalog(), FunctionRegistry()
+        self.folder: str | None = None  # whose tables are registered
         Session.current = self
 
     @classmethod
