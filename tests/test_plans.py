@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from weftline.operators.relational import natural_join_all
-from weftline.plans import hypercube, hypergraph, multiway
+from weftline.plans import hypercube, hypergraph, inequality, multiway
 from weftline.plans.multiway import Relation
 
 
@@ -77,3 +77,14 @@ def test_key_first_order():
     tables = {"line": ["o", "p"], "orders": ["o", "c"], "customer": ["c", "n"], "nation": ["n"]}
     keys = {"orders": ["o"], "customer": ["c"], "nation": ["n"]}
     assert multiway.key_first_order(tables, keys) == ["line", "orders", "customer", "nation"]
+
+
+def test_counts_of_lesser_values(spark):
+    rng = random.Random(3)
+    left = [(rng.choice([None, rng.randint(-50, 50)]),) for _ in range(200)]
+    right = [(i, rng.choice([None, rng.randint(-60, 60)])) for i in range(80)]
+    a, b = spark.createDataFrame(left, "a long"), spark.createDataFrame(right, "k long, b long")
+    want = {(k, v, sum(x is not None and v is not None and x < v for (x,) in left)) for k, v in right}
+    assert {tuple(r) for r in inequality.count_less(a, "a", b, "b").collect()} == want
+    assert [r.n for r in inequality.count_less(a.where("false"), "a", b, "b").collect()] == [0] * 80
+    assert inequality.count_less(a, "a", b.where("false"), "b").count() == 0

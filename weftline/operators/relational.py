@@ -77,6 +77,12 @@ def existence_join(left: DataFrame, right: DataFrame, keys: Sequence[str], name:
     return left.join(found, list(keys), "left").select(*[left[c] for c in left.columns], F.col("_there").isNotNull().alias(name))
 
 
+def small_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+    """A join for which ``right`` is sent to all tasks if it has ``most`` rows or fewer; else an ordinary one."""
+    few = right.limit(most + 1).count() <= most
+    return using_join(left, F.broadcast(right) if few else right, keys, how)
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     """Positional, with the first one's names; keeps duplicates."""
     return reduce(DataFrame.unionAll, frames)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from weftline import functions as W
 from weftline.functions import UserDefinedAggregate
 from weftline.operators import relational as R
+from weftline.plans.materialize import shared_folder
 from weftline.queries.registry import query, session, sql_query, table
-from weftline.sources import matching_relation
+from weftline.sources import load_graph_edges, load_tsv, matching_relation, write_tsv
 
 # -- scans, rows
 
@@ -64,6 +67,22 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return matching_relation(spark, ["a", "b", "c"], [2, 2, 2], 1000)
 
 
+@query("source_tsv_round_trip", "SELECT o_orderkey AS a, o_custkey AS b FROM orders")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
+    write_tsv(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), path)
+    return load_tsv(spark, path, ["a", "b"], kind="bigint")
+
+
+@query("source_graph_file", """
+    WITH e AS (SELECT c_nationkey AS src, c_custkey % 25 AS dst FROM customer WHERE c_nationkey <> c_custkey % 25) SELECT src, dst FROM e UNION SELECT dst, src FROM e
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    write_tsv(table(spark, folder, "customer").selectExpr("c_nationkey", "c_custkey % 25"), path)
+    return load_graph_edges(spark, path, is_undirected=True)
+
+
 # -- expressions
 
 sql_query("expr_arithmetic", "SELECT p_partkey, p_size + 3 * p_partkey - 1 AS a, -p_size AS b, +p_size AS c, p_size * 0.5 AS d FROM part",
@@ -184,6 +203,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return R.using_join(nations, rich, ["k"], "left")
 
 
+@query("join_small_side", "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    return R.small_join(orders, customers, ["k"]).select("o_orderkey", "c_nationkey")
+
+
 @query("join_semi", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     many = table(spark, folder, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.relational import natural_join, theta_join
 from weftline.plans import multiway
+from weftline.plans.inequality import count_less
 from weftline.queries.registry import KEYS, query, table
 
 _CAST = "SELECT l_suppkey AS person_id, l_partkey AS movie_id FROM lineitem"
@@ -86,7 +87,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("olap_O8", f"SELECT movie_name, count(*) AS n FROM ({_S}) JOIN ({_P}) ON movie_id1 < movie_id2 GROUP BY movie_name")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    return _theta(spark, folder).groupBy("movie_name").agg(F.count(F.lit(1)).alias("n"))
+    few = table(spark, folder, "supplier").selectExpr("s_suppkey AS movie_id1")
+    many = table(spark, folder, "part").selectExpr("p_partkey AS movie_id2", "p_name AS movie_name")
+    counted = count_less(few, "movie_id1", many, "movie_id2").groupBy("movie_name").agg(F.sum("n").alias("n"))
+    return counted.where("n > 0")
 
 
 @_olap("O9", "SELECT q.movie_id, keyword_id, movie_name, person_id, name FROM (SELECT p_partkey AS movie_id, p_size AS keyword_id FROM part) q NATURAL JOIN t JOIN n ON person_id < q.movie_id")
