@@ -22,6 +22,8 @@ from weftline.llm.common import chunks, crc_mod, stored, text_bytes
 
 #: The end of a text.  Words hold no white space, so it is none of them.
 END = b"\n"
+#: Bytes of a listed word at most; longer ones are looked up in the table of all words.
+LONGEST = 256
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 400_000
 
@@ -236,7 +238,9 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     shape = shape.sort_values("c", ascending=False)
     fits = shape[shape.k.cumsum() < settings.listed]
     least = int(fits.c.min()) if len(fits) else None
-    rows = [] if least is None else table.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).toArrow().to_pylist()
+    rows = [] if least is None else (
+        table.where((F.col("c") >= least) & (F.col("word") != F.lit(END)) & (F.length("word") <= LONGEST)).toArrow().to_pylist()
+    )
     rows.sort(key=lambda r: (-r["c"], r["word"]))
     ends = table.where(F.col("word") == F.lit(END)).first()
     words = [END, *(bytes(r["word"]) for r in rows)]
