@@ -64,8 +64,11 @@ def sum_product(relations: Sequence[Relation], by: Sequence[str], name: str = "t
     for v in hypergraph.elimination_order(held, by):
         bag = frozenset().union(*[h for h in held if v in h])
         inside = [i for i, h in enumerate(held) if h <= bag]
-        rest = sorted(bag - {v})
         part = _product([factors[i] for i in inside])
+        if len(inside) == len(factors):  # all that is left: one grouping does for all remaining attributes
+            factors = [part]
+            break
+        rest = sorted(bag - {v})
         part = part.groupBy(*rest).agg(F.sum("_n").alias("_n")) if rest else part.agg(F.sum("_n").alias("_n"))
         factors = [f for i, f in enumerate(factors) if i not in inside] + [part]
         held = [h for i, h in enumerate(held) if i not in inside] + [frozenset(rest)]
