@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from tests.llm.conftest import crowded, prose
+from weftline.llm import jaccard
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def shingles(text: str) -> frozenset:
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def first_of_groups(rows: list) -> set:
+    """The least id of each component over all pairs, by the definition."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def copies(seed: int) -> list:
+    """Texts, copies of them with more and more words changed, and a line that many texts share."""
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.randint(3, 300)) for _ in range(40)]
+    for _ in range(120):
+        words = rng.choice(texts[:12]).split()
+        for _ in range(rng.randint(0, max(1, len(words) // 20))):
+            words[rng.randrange(len(words))] = prose(rng, 1) + "x"
+        texts.append(" ".join(words))
+    line = prose(rng, 30)
+    texts += [f"{line} {prose(rng, rng.randint(1, 12))}" for _ in range(30)] + [f"{prose(rng, 60)} {line}" for _ in range(30)]
+    return list(enumerate(texts))
+
+
+def test_the_stage_drops_near_copies_beyond_two_bits(spark, make_docs):
+    """Planted near copies of 0.8 or more, all caught; a copy below stays."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i in range(40):
+        words = prose(rng, 200).split()
+        near, far = list(words), list(words)
+        for k in range(rng.randint(1, 4)):
+            near[40 * k + 20] = f"changed{i}"
+        for k in range(8):
+            far[25 * k + 12] = f"other{i}"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+        want |= {3 * i, 3 * i + 2}
+    assert first_of_groups(rows) == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), "")
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize(("crowd", "often"), [(1, 2), (8, 8), (1000, 10**9)])
+def test_groups_against_all_pairs(make_docs, monkeypatch, crowd, often):
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    rows = copies(crowd)
+    kept = jaccard.keep_first(make_docs(rows), crowd=crowd).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(first_of_groups(rows))
+
+
+def test_odd_rows(odd_docs, empty_docs):
+    docs = crowded(odd_docs)
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 7, 8, 9]
+    assert jaccard.keep_first(empty_docs).count() == 0

@@ -1,0 +1,147 @@
+"""Near copies by the Jaccard similarity of word shingles: every similar pair is found, by prefix filtering."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from weftline.llm.common import checkpointed, stored, text_bytes
+from weftline.llm.components import connected_components
+from weftline.llm.simhash import keep_rows, shingle_hashes
+
+#: Texts that the frequent shingles are looked for in, how often these occur there at least, and how many are sent.
+SAMPLE, OFTEN, SENT = 20_000, 8, 1 << 19
+
+
+def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text; shingles as in :func:`simhash.simhash`."""
+    found = [np.unique(h) for h in shingle_hashes(text, words, seed)]
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def _set_key(hashes: np.ndarray, seed: int) -> int:
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), seed)).view(np.int64))
+
+
+def _prefixes(frequent, words: int, percent: int, seed: int):
+    """For each text its set's key, size and prefix: frequent shingles come last in the order of all shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = frequent.value
+        for batch in batches:
+            keys, sizes, prefixes = [], [], []
+            for text in batch.column(2):
+                hashes = shingle_set(text.as_py(), words, seed)
+                n = len(hashes)
+                keys.append(_set_key(hashes, seed))
+                sizes.append(n)
+                if len(last) and n:
+                    late = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
+                    hashes = np.concatenate((hashes[~late], hashes[late]))
+                prefixes.append(hashes[: n - -(-percent * n // 100) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "th", "fp", "n", "prefix"],
+            )
+
+    return run
+
+
+def _sets(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words, seed) for t in batch.column(0)]
+            keys = [_set_key(s, seed) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])
+
+    return run
+
+
+def _frequent(docs: DataFrame, words: int, seed: int) -> np.ndarray:
+    """Shingles to put last.  Any choice gives the same pairs; a good one keeps buckets small."""
+    parts = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select(text_bytes().alias("b"))
+    some = some.mapInArrow(_sets(words, seed), "fp long, hashes array<long>").dropDuplicates(["fp"])
+    counts = some.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN)
+    return np.sort(counts.orderBy(F.desc("c"), "h").limit(SENT).select("h").toArrow()["h"].to_numpy())
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs ``(u, v)`` whose sets have a Jaccard similarity of ``percent`` / 100 or more."""
+    left, right = sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    fits = common * (100 + percent) >= (F.size("a") + F.size("b")) * percent
+    return checkpointed(pairs.distinct().join(left, "u").join(right, "v").where(fits).select("u", "v"))
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _roots(docs: DataFrame, marked: DataFrame, words: int, percent: int, seed: int, crowd: int) -> DataFrame:
+    """``(fp, root)`` for the distinct sets that are connected with another one.
+
+    Two sets of that similarity share a shingle of their prefixes.  Buckets with the same members count once.  In a bucket
+    of more than ``crowd`` sets all are first compared with three of them; after that only pairs not yet connected are
+    compared, all of them.
+    """
+    once = stored(marked.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"]))
+    dealt = once.select("fp", "n", F.explode("prefix").alias("h"))
+    full = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y")).where("m > 1")
+    buckets = checkpointed(full.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h", "m"))
+    shared = stored(dealt.join(buckets, "h"))
+
+    of_sets = marked.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th"))
+    texts = docs.withColumn("_t", F.xxhash64("text")).join(checkpointed(of_sets.select(F.col("th").alias("_t"))), "_t", "left_semi")
+    sets = texts.select(text_bytes().alias("b"), "_t").dropDuplicates(["_t"]).select("b").mapInArrow(_sets(words, seed), "fp long, hashes array<long>")
+    sets = stored(sets)
+
+    def sized(a: Column, b: Column) -> Column:
+        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+    few, many = shared.where(F.col("m") <= crowd), shared.where(F.col("m") > crowd)
+    both = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & sized(F.col("a.n"), F.col("b.n")))
+    pairs = both.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    hubs = many.groupBy("h").agg(F.array(*[F.min_by(F.struct("fp", "n"), F.xxhash64("fp", F.lit(i))) for i in range(3)]).alias("hubs"))
+    near = many.join(checkpointed(hubs), "h").select("fp", "n", F.explode(F.array_distinct("hubs")).alias("o")).where("fp != o.fp")
+    near = near.where(sized(F.col("n"), F.col("o.n"))).select(*_ordered(F.col("fp"), F.col("o.fp")))
+    edges = _similar(pairs.unionAll(near), sets, percent)
+    roots = checkpointed(connected_components(edges).select(F.col("node").alias("fp"), "root"))
+
+    told = checkpointed(many.join(roots, "fp", "left").select("h", "fp", "n", F.coalesce("root", "fp").alias("root")))
+    mixed = told.groupBy("h").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("h")
+    left = checkpointed(told.join(checkpointed(mixed), "h", "left_semi"))
+    if left.isEmpty():
+        return roots
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & sized(F.col("a.n"), F.col("b.n"))
+    rest = left.alias("a").join(left.alias("b"), apart).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    more = _similar(rest, sets, percent)
+    if more.isEmpty():
+        return roots
+    known = roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).where("u != v")
+    return connected_components(known.unionAll(more)).select(F.col("node").alias("fp"), "root")
+
+
+def keep_first(docs: DataFrame, percent: int = 80, words: int = 5, seed: int = 42, crowd: int = 8) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id (null last), then the smallest text hash.
+
+    Texts are near copies if the Jaccard similarity of their sets of ``words``-word shingles is ``percent`` / 100 or
+    more; groups are the connected components.  Texts without words are copies of each other.  All columns are
+    kept.  Of repeated rows with one id and text, one stays.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words, seed))
+    marked = stored(
+        docs.select("doc_id", F.xxhash64("text").alias("th"), text_bytes().alias("b")).mapInArrow(
+            _prefixes(sent, words, percent, seed), f"doc_id {kind}, th long, fp long, n long, prefix array<long>"
+        )
+    )
+    roots = _roots(docs.select("text"), marked, words, percent, seed, crowd)
+    codes = marked.select("fp").distinct()
+    placed = checkpointed(codes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return keep_rows(docs, marked.select("doc_id", "th", "fp"), placed)

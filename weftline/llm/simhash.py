@@ -20,25 +20,31 @@ BITS = 64
 CHUNK = 1 << 16
 
 
-def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text: a bit is 1 if set in over half the shingle hashes.
-
-    Words are maximal runs without ASCII white space, A-Z lower-cased; shingles of
-    ``words`` words are joined by one space and counted with repeats.  A text of fewer
-    words is one shingle; a text without words has fingerprint zero.
-    """
+def shingle_hashes(text: bytes, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, ``CHUNK`` at a time."""
     found = text.lower().split()
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     n = max(1, len(found) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     ends = ends[min(words, len(found)) - 1 :]
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         pairs = zip(starts[at : min(at + CHUNK, n)].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
+
+
+def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a text: a bit is 1 if set in over half the shingle hashes.
+
+    Words are maximal runs without ASCII white space, A-Z lower-cased; shingles of
+    ``words`` words are joined by one space and counted with repeats.  A text of fewer
+    words is one shingle; a text without words has fingerprint zero.
+    """
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
@@ -162,7 +168,11 @@ def keep_first(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 4
     All columns are kept.  Of repeated rows with one id and text, one stays.
     """
     marked = checkpointed(fingerprints(docs, words, seed))
-    roots = _rooted(marked, max_bits, crowd).select("fp", "root")
+    return keep_rows(docs, marked, _rooted(marked, max_bits, crowd).select("fp", "root"))
+
+
+def keep_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first document of each class, given ``marked(doc_id, th, fp)`` of the rows and ``roots(fp, root)`` of all codes."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     # Per fingerprint before the join with the classes, so that hot fingerprints are one row each.
     by_code = checkpointed(marked.groupBy("fp").agg(first.alias("one")))
