@@ -113,6 +113,14 @@ def test_collisions_are_drawn_again(spark):
     assert not {(r.kind, r.new) for r in got} & set(rows)
 
 
+def test_more_surnames_than_four_syllables_can_tell(spark, monkeypatch):
+    """With two syllables for each script there are 16 names of four; the names grow until all differ."""
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: " ".join(v.split()[:2]) for k, v in surrogates.SYLLABLES.items()})
+    rows = [("surname", f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(60)]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    assert {r.entity for r in got} == {e for _, e in rows} and len({r.new for r in got}) == 60
+
+
 def test_what_is_left_alone(make_docs):
     for text in ("version 1.2.3 of 300.1.2.3", "in 1999-2004, 12345 times", "a@b", "deadbeef", "12345678901234567890123", "Paris in May", "x1.2.3.4.5"):
         (r,) = surrogates.replace_entities(make_docs([(1, text)])).collect()

@@ -178,11 +178,12 @@ def surrogate() -> Column:
     names = F.lit(None).cast("string")
     for known in GIVEN.values():
         names = F.when(entity.isin(known.split()), _pick(known.split(), _draw(stream, F.lit(1)))).otherwise(names)
-    # A list of names is soon used up: drawn again, a name gets an ending of its own.
+    # A list of names is soon used up: drawn again, a given name gets an ending of its own, a surname one more syllable each time.
     ending = F.when(attempt > 0, _written(F.repeat(F.substr(F.lower(entity), F.lit(2), F.lit(1)), 4), stream)).otherwise("")
     surnames = F.lit(None).cast("string")
     for script, parts in SYLLABLES.items():
-        made = F.initcap(F.concat(*[_pick(parts.split(), _draw(stream, F.lit(i))) for i in (1, 2, 3, 4)]))
+        syllables = F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: _pick(parts.split(), _draw(stream, i)))  # noqa: B023
+        made = F.initcap(F.array_join(syllables, ""))
         surnames = F.when(_script(entity) == script, made).otherwise(surnames)
     return (
         F.when(kind == "email", F.concat(_written(local, stream), F.lit("@"), _written(host, of_domain), F.lit(".example")))
