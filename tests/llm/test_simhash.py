@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import random
 
 import pytest
@@ -11,15 +12,19 @@ from weftline.llm import simhash
 from weftline.llm.components import connected_components
 
 
-def slow_simhash(text: str) -> int:
-    """By the definition, bit by bit."""
+def words_of(text: str) -> list[str]:
     raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     for blank in "\t\n\v\f\r":
         raw = raw.replace(blank, " ")
-    words = [w for w in raw.split(" ") if w]
+    return [w for w in raw.split(" ") if w]
+
+
+def slow_simhash(text: str, size: int = 3) -> int:
+    """By the definition, bit by bit."""
+    words = words_of(text)
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -69,9 +74,48 @@ def clustered(seed: int) -> list[int]:
     return sorted(codes | {rng.getrandbits(63) for _ in range(60)})
 
 
-@pytest.mark.parametrize(("bits", "crowd"), [(2, 1), (2, 8), (2, 10_000), (1, 1), (1, 10_000)])
+def near_groups(texts: dict) -> dict:
+    """The least id of each text's group over all pairs, by the definition: eleven bits and a Jaccard similarity of 0.8."""
+    root, codes = {i: i for i in texts}, {i: slow_simhash(t, 5) for i, t in texts.items()}
+    sets = {}
+    for i, t in texts.items():
+        words = words_of(t)
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if j < i and (sets[i] == sets[j] or (bin(codes[i] ^ codes[j]).count("1") <= 11 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize(("bits", "segments"), [(2, 3), (2, 5), (2, 7), (2, 9), (1, 2), (1, 7)])
+def test_every_near_pair_has_a_chain(spark, bits, segments):
+    """For random differences within the budget some start keeps to it, its head is equal, and none beyond the budget passes."""
+    rng = random.Random(segments)
+    rows = []
+    for k in (*range(1, bits + 1), bits + 1):
+        for _ in range(200):
+            x = sum(1 << b for b in rng.sample(range(64), k))
+            rows.append((x - 2**64 if x >= 2**63 else x, k))
+    x = F.col("x")
+    heads = [simhash._segment(x, *key) == 0 for key in simhash.chain_keys(bits, segments)]
+    chains = [simhash._chain(x, i, bits, segments) for i in range(segments)]
+    both = [h & c for h, c in zip(heads, chains, strict=True)]
+    found = spark.createDataFrame(rows, "x long, k int").select("k", F.array(*both).alias("ok"), F.array(*chains).alias("chain")).collect()
+    assert all(any(r.ok) == (r.k <= bits) and r.ok == r.chain for r in found)
+
+
+@pytest.mark.parametrize(("bits", "crowd"), [(2, 1), (2, 8), (2, 10_000), (2, None), (1, 1), (1, 10_000)])
 def test_links_against_all_pairs(spark, bits, crowd):
     """Whatever part of the buckets counts as crowded, the same fingerprints are connected."""
+    crowd = crowd or inspect.signature(simhash.links).parameters["crowd"].default
     codes = clustered(bits)
     frame = spark.createDataFrame([(c,) for c in codes], "fp long")
     edges = simhash.links(frame, bits, crowd)
@@ -81,8 +125,28 @@ def test_links_against_all_pairs(spark, bits, crowd):
 
 
 def test_links_refuse_other_distances(spark):
+    one = spark.createDataFrame([(1,)], "fp long")
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+        simhash.links(one, 3)
+    with pytest.raises(ValueError):
+        simhash.wide_classes(one.selectExpr("fp AS node", "fp", "1 AS n"), 12, 0, lambda p: p)
+
+
+@pytest.mark.parametrize(("bits", "large"), [(3, 64), (5, 10), (8, 10_000), (11, 5), (11, 64)])
+def test_wide_classes_against_all_pairs(spark, monkeypatch, bits, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng, codes = random.Random(bits), set()
+    for _ in range(5):
+        centre = rng.getrandbits(64)
+        for _ in range(50):
+            c = centre
+            for _ in range(rng.randint(0, bits + 3)):
+                c ^= 1 << rng.randrange(64)
+            codes.add(c - 2**64 if c >= 2**63 else c)
+    codes = sorted(codes | {rng.getrandbits(63) for _ in range(60)})
+    nodes = spark.createDataFrame([(c, c, 1) for c in codes], "node long, fp long, n long")
+    found = {r.node: r.root for r in simhash.wide_classes(nodes, bits, 80, lambda pairs: pairs.distinct()).collect()}
+    assert {c: found.get(c, c) for c in codes} == classes(codes, bits)
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -132,6 +196,47 @@ def test_keep_first_leaves_one_row_of_each_class(odd_docs, empty_docs):
     assert simhash.keep_first(empty_docs).count() == 0
 
 
+def copies(seed: int) -> dict:
+    """Texts, copies of them with more and more words changed, and a line that many texts share."""
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.randint(3, 300)) for _ in range(40)]
+    for _ in range(120):
+        words = rng.choice(texts[:12]).split()
+        for _ in range(rng.randint(0, max(1, len(words) // 20))):
+            words[rng.randrange(len(words))] = prose(rng, 1) + "x"
+        texts.append(" ".join(words))
+    line = prose(rng, 30)
+    texts += [f"{line} {prose(rng, rng.randint(1, 12))}" for _ in range(30)] + [f"{prose(rng, 60)} {line}" for _ in range(30)]
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize(("seed", "large", "sent"), [(1, 64, 1 << 20), (2, 3, 0), (3, 10_000, 1 << 20)])
+def test_kept_documents_against_all_pairs(make_docs, monkeypatch, seed, large, sent):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SENT", sent)
+    texts = copies(seed)
+    kept = simhash.keep_first(make_docs(list(texts.items()))).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(near_groups(texts).values()))
+
+
+def test_planted_near_copies_are_dropped(make_docs):
+    """Of copies with a similarity of 0.85 or more nearly all are found; copies below 0.8 all stay."""
+    rng = random.Random(11)
+    rows, near, far = [], set(), set()
+    for i in range(60):
+        words = prose(rng, 300).split()
+        a, b = list(words), list(words)
+        for k in range(rng.randint(1, 4)):
+            a[60 * k + 20] = f"changed{i}"
+        for k in range(12):
+            b[25 * k + 12] = f"other{i}"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(a)), (3 * i + 2, " ".join(b))]
+        near.add(3 * i + 1)
+        far |= {3 * i, 3 * i + 2}
+    kept = {r.doc_id for r in simhash.keep_first(make_docs(rows)).collect()}
+    assert far <= kept and len(near - kept) >= 0.95 * len(near)
+
+
 def test_a_large_group_is_linked_without_all_pairs(spark, make_docs):
     """A group larger than any bucket that is compared pair by pair."""
     base = prose(random.Random(4), 400).split()

@@ -1,8 +1,13 @@
-"""SimHash near-duplicate groups, candidates pruned by pigeonring chains."""
+"""SimHash near-duplicate groups, candidates pruned by pigeonring chains.
+
+Small budgets (one or two bits of 64) are sought by chains of whole segments that must be equal.  Wider ones, up to
+``WIDEST`` bits, are for texts that are similar rather than almost equal: four segments, the first of a chain within two
+bits, and every pair that passes the full Hamming check can be verified by the Jaccard similarity of its shingles.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -12,12 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import Guarded, checkpointed, text_bytes
+from weftline.llm.common import Guarded, checkpointed, stored, text_bytes
 from weftline.llm.components import connected_components
 
 BITS = 64
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
+#: Segments of the ring for small budgets: with two bits, chains start with three equal segments, 27 bits.
+SEGMENTS = 7
+#: The widest budget, and the segments of its ring.
+WIDEST, QUARTERS = 11, 4
+#: Members from which a class counts as large: it is then compared with others, not within itself.
+LARGE = 64
+#: Rows that are sent to all tasks at most (two longs each); beyond that, tables are joined by shuffles.
+SENT = 1 << 20
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> Iterator[np.ndarray]:
@@ -49,73 +62,101 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _signed(codes: list[int]) -> pa.Array:
+    return pa.array(np.array(codes, dtype=np.uint64).view(np.int64), pa.int64())
+
+
+def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text; shingles as in :func:`simhash`."""
+    found = [np.unique(h) for h in shingle_hashes(text, words, seed)]
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def _set_key(hashes: np.ndarray, seed: int) -> int:
+    return xxh64_intdigest(hashes.tobytes(), seed)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int, sets: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = [simhash(t.as_py(), words, seed) for t in batch.column(2)]
-        signed = np.array(codes, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.int64())], ["doc_id", "th", "fp"])
+        texts = [t.as_py() for t in batch.column(2)]
+        found = [*batch.columns[:2], _signed([simhash(t, words, seed) for t in texts])]
+        if sets:
+            each = [shingle_set(t, words, seed) for t in texts]
+            found += [_signed([_set_key(s, seed) for s in each]), pa.array([len(s) for s in each], pa.int64())]
+        yield pa.RecordBatch.from_arrays(found, ["doc_id", "th", "fp", "node", "n"][: len(found)])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, sets: bool = False) -> DataFrame:
     """``(doc_id, th, fp)``, one row for each row of ``docs``.
 
-    ``fp`` is the fingerprint as a signed long, ``th`` a hash that tells the text of rows with one id.
+    ``fp`` is the fingerprint as a signed long, ``th`` a hash that tells the text of rows with one id.  With ``sets`` also
+    ``node``, a hash of the set of shingles, and ``n``, its size.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("th"), text_bytes().alias("b")).mapInArrow(
-        partial(_fingerprints, words=words, seed=seed), f"doc_id {kind}, th long, fp long"
+        partial(_fingerprints, words=words, seed=seed, sets=sets), f"doc_id {kind}, th long, fp long{', node long, n long' * sets}"
     )
 
 
-def ring(max_bits: int) -> list[tuple[int, int]]:
-    """``max_bits + 1`` segments (shift, width) that make up the 64 bits."""
-    m = max_bits + 1
-    edges = [BITS * i // m for i in range(m + 1)]
+def ring(segments: int) -> list[tuple[int, int]]:
+    """``segments`` segments (shift, width) that make up the 64 bits."""
+    edges = [BITS * i // segments for i in range(segments + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _segment(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+    """``width`` bits of the ring from ``shift`` on."""
+    found = F.shiftrightunsigned(fp, shift)
+    if shift + width > BITS:
+        found = found.bitwiseOR(F.shiftleft(fp, BITS - shift))
+    return found.bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else found
 
 
-def _chain(x: Column, start: int, max_bits: int) -> Column:
+def _chain(x: Column, start: int, max_bits: int, segments: int) -> Column:
     """Whether the differing bits ``x`` stay within the proportional budget along the chain from ``start``.
 
     After l of the m consecutive segments at most ``floor(l * max_bits / m)`` bits may
     differ.  Any pair within ``max_bits`` has such a chain from at least one start (the
     strong form of the pigeonhole principle on a ring); the whole ring is the Hamming check.
     """
-    parts, m = ring(max_bits), max_bits + 1
+    parts = ring(segments)
     ok, so_far = F.lit(True), F.lit(0)
-    for step in range(m):
-        shift, width = parts[(start + step) % m]
+    for step in range(segments):
+        shift, width = parts[(start + step) % segments]
         so_far = so_far + F.bit_count(_segment(x, shift, width))
-        ok = ok & (so_far <= (step + 1) * max_bits // m)
+        ok = ok & (so_far <= (step + 1) * max_bits // segments)
     return ok
 
 
-def links(fps: DataFrame, max_bits: int = 2, crowd: int = 32) -> DataFrame:
+def chain_keys(max_bits: int, segments: int) -> list[tuple[int, int]]:
+    """For each start the (shift, width) of the segments at the head of its chain whose budget is zero."""
+    whole = -(-segments // max_bits) - 1
+    parts = ring(segments)
+    return [(parts[i][0], sum(parts[(i + k) % segments][1] for k in range(whole))) for i in range(segments)]
+
+
+def links(fps: DataFrame, max_bits: int = 2, crowd: int = 128, segments: int = SEGMENTS) -> DataFrame:
     """Edges ``(u, v)`` that connect the distinct fingerprints ``fp`` within ``max_bits`` (1 or 2).
 
-    Fingerprints are dealt by (start, first segment of the chain), which must be equal.
+    Fingerprints are dealt by (start, the segments at the chain's head, which must be equal).
     In a bucket of at most ``crowd`` fingerprints, pairs that keep to the chain's budgets
-    are linked.  No bucket is cut: the members of a larger one are linked through
+    are linked.  With 27 bits to a key, billions of unrelated fingerprints make no larger bucket: those are groups of
+    near copies.  No bucket is cut: the members of a larger one are linked through
     the codes at one bit from each of them (two codes within two bits share such a
     code or are one of them), which takes 65 rows a fingerprint and at most 65 rows
     for a key, however large the bucket is.
     """
-    if max_bits not in (1, 2):
-        raise ValueError("max_bits must be 1 or 2")
-    parts = ring(max_bits)
+    if max_bits not in (1, 2) or segments <= max_bits:
+        raise ValueError("max_bits must be 1 or 2, and less than segments")
     keys = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("i"), _segment(F.col("fp"), *p).alias("s")) for i, p in enumerate(parts)])
+        F.array(*[F.struct(F.lit(i).alias("i"), _segment(F.col("fp"), *k).alias("s")) for i, k in enumerate(chain_keys(max_bits, segments))])
     )
     dealt = fps.select("fp", keys.alias("k")).select("fp", "k.i", "k.s")
     sizes = dealt.groupBy("i", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = checkpointed(dealt.join(checkpointed(sizes), ["i", "s"]))
     few = shared.where(F.col("n") <= crowd)
     x = F.col("u").bitwiseXOR(F.col("v"))
-    within = F.coalesce(*[F.when(F.col("a.i") == i, _chain(x, i, max_bits)) for i in range(len(parts))])
+    within = F.coalesce(*[F.when(F.col("a.i") == i, _chain(x, i, max_bits, segments)) for i in range(segments)])
     pairs = (
         few.select("i", "s", F.col("fp").alias("u")).alias("a")
         .join(
@@ -136,21 +177,129 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 32) -> DataFrame:
     return pairs.unionAll(through)
 
 
+_Verify = Callable[[DataFrame], DataFrame]
+
+
+def _quartered(max_bits: int) -> list[tuple[int, int]]:
+    """The (start, change) pairs that a fingerprint's 16-bit segments are dealt under.
+
+    Budgets of the four segments that sum to ``max_bits - 3`` leave one segment within its own, for any pair within ``max_bits``.
+    A budget of one or two bits is met by changing up to one bit on either side.
+    """
+    codes = []
+    for i in range(QUARTERS):
+        own = (max_bits - QUARTERS + 1 + i) // QUARTERS
+        codes += [(i, 0)] + [(i, 1 << b) for b in range(16 if own else 0)]
+    return codes
+
+
+def _dealt(nodes: DataFrame, codes: list[tuple[int, int]]) -> DataFrame:
+    """``nodes`` once for each code, with the ``key`` of the segment so changed."""
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).cast("long").alias("x")) for i, x in codes])
+    key = F.expr("(shiftrightunsigned(fp, 16 * c.i) & 65535L ^ c.x) + c.i * 65536L")
+    return nodes.select("*", F.explode(table).alias("c")).select(*nodes.columns, key.alias("key"))
+
+
+def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify) -> DataFrame:
+    """``(node, root)`` of the ``nodes(node, fp, n)`` that are linked with another one: within ``max_bits`` (3 to 11) and verified.
+
+    Sizes ``n`` must lie within ``percent`` of each other.  Two steps, so that a group of near copies, however large, is never
+    compared with itself in full.  First the members of each bucket with an equal segment are compared with three of them,
+    and classes are formed.  Then pairs of different classes are compared wherever a segment lies within its budget: those
+    outside of large classes with all others, and large classes with each other.
+    """
+    if not QUARTERS - 1 <= max_bits <= WIDEST:
+        raise ValueError(f"max_bits must be {QUARTERS - 1} to {WIDEST}")
+
+    def fits(a: str, b: str) -> Column:
+        x = F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))
+        near = F.bit_count(x) <= max_bits
+        least, most = (f(F.col(f"{a}.n"), F.col(f"{b}.n")) for f in (F.least, F.greatest))
+        return near & (least * 100 >= most * percent) & (F.col(f"{a}.node") != F.col(f"{b}.node"))
+
+    def paired(rows: DataFrame, a: str = "a.node", b: str = "b.node") -> DataFrame:
+        return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+    equal = checkpointed(_dealt(nodes, [(i, 0) for i in range(QUARTERS)]))
+    three = F.array(*[F.min_by(F.struct("node", "fp", "n"), F.xxhash64("node", F.lit(k))) for k in range(3)])
+    hubs = checkpointed(equal.groupBy("key").agg(three.alias("hubs"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hubs"))
+    first = equal.join(hubs, "key").select(F.struct("node", "fp", "n").alias("a"), F.explode("hubs").alias("b")).where(fits("a", "b"))
+    edges = verify(paired(first))
+    roots = checkpointed(connected_components(edges))
+
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE).select("root")
+    large = checkpointed(roots.join(sizes, "root", "left_semi"))
+    marked = stored(nodes.join(large.withColumnRenamed("root", "large"), "node", "left").select("node", "fp", "n", "large"))
+    codes = _quartered(max_bits)
+    dealt = _dealt(marked, codes)
+    some, other = dealt.where("large IS NULL").alias("a"), dealt.alias("b")
+    once = F.col("b.large").isNotNull() | (F.col("a.node") < F.col("b.node"))
+    rest = paired(some.join(other, (F.col("a.key") == F.col("b.key")) & once & fits("a", "b"))).distinct()
+    if not large.isEmpty():
+        # In a bucket with several large classes, all their pairs; a bucket with one has none to compare.
+        ours = dealt.where("large IS NOT NULL")
+        mixed = ours.groupBy("key").agg(F.min("large").alias("p"), F.max("large").alias("q")).where("p != q").select("key")
+        ours = checkpointed(ours.join(checkpointed(mixed), "key", "left_semi"))
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.large") < F.col("b.large")) & fits("a", "b")
+        rest = rest.unionAll(paired(ours.alias("a").join(ours.alias("b"), apart)).distinct())
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v")
+    open_ = checkpointed(rest).join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
+    open_ = open_.join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+    more = verify(open_.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
+    if more.isEmpty():
+        return roots
+    return connected_components(known.unionAll(more))
+
+
+def _sets(words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words, seed) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([_signed([_set_key(s, seed) for s in sets]), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return run
+
+
+def _by_jaccard(docs: DataFrame, marked: DataFrame, words: int, percent: int, seed: int) -> _Verify:
+    """Keeps the pairs of nodes whose sets of shingles have a Jaccard similarity of ``percent`` / 100 or more.
+
+    The sets are made anew from one text each, for the nodes of candidate pairs only.
+    """
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.distinct())
+        wanted = checkpointed(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct())
+        texts = checkpointed(marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("_t")).select("_t"))
+        chosen = F.broadcast(texts) if texts.count() <= SENT else texts
+        found = docs.select("text", F.xxhash64("text").alias("_t")).join(chosen, "_t", "left_semi")
+        sets = found.dropDuplicates(["_t"]).select(text_bytes().alias("b")).mapInArrow(_sets(words, seed), "node long, hashes array<long>")
+        sets = stored(sets)
+        left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        similar = F.size(F.array_intersect("a", "b")) * (100 + percent) >= (F.size("a") + F.size("b")) * percent
+        return checkpointed(pairs.join(left, "u").join(right, "v").where(similar).select("u", "v"))
+
+    return verify
+
+
 def _rooted(marked: DataFrame, max_bits: int, crowd: int) -> DataFrame:
     """``(fp, root, least)`` for each distinct fingerprint: its class and its own smallest doc_id."""
     codes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(codes.select("fp"), max_bits, crowd))
+    if max_bits <= 2:
+        roots = connected_components(links(codes.select("fp"), max_bits, crowd))
+    else:
+        nodes = codes.select(F.col("fp").alias("node"), "fp", F.lit(1).alias("n"))
+        roots = wide_classes(nodes, max_bits, 0, lambda pairs: checkpointed(pairs.distinct()))
     return checkpointed(
         codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     )
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 42, crowd: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 42, crowd: int = 128) -> DataFrame:
     """Near-duplicate classes of whole texts: ``(doc_id, fp, component_id)``, one row for each row.
 
     Equal fingerprints are first reduced to one; links are sought between distinct
-    fingerprints only (see :func:`links`), and classes are the connected components.
-    ``component_id`` is the smallest doc_id of the class.  Null and empty texts have
+    fingerprints only (see :func:`links` and, for ``max_bits`` of 3 to 11, :func:`wide_classes`), and classes are the
+    connected components.  ``component_id`` is the smallest doc_id of the class.  Null and empty texts have
     fingerprint zero and are linked like any other; rows without doc_id are linked too
     and have a null ``component_id`` only in a class without any id.  Repeated rows give
     repeated results; an empty table gives an empty result; other columns are ignored.
@@ -162,21 +311,27 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: in
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, max_bits: int = 2, words: int = 3, seed: int = 42, crowd: int = 32) -> DataFrame:
-    """One document of each class: that with the smallest doc_id (null last), then the smallest text hash.
+def keep_first(docs: DataFrame, max_bits: int = WIDEST, words: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id (null last), then the smallest text hash.
 
-    All columns are kept.  Of repeated rows with one id and text, one stays.
+    Two texts are near copies if their fingerprints differ in ``max_bits`` (3 to 11) at most and the Jaccard similarity of
+    their sets of ``words``-word shingles is ``percent`` / 100 or more; groups are the connected components.  Fingerprints
+    find most such pairs, not all: the closer two texts, the surer.  Texts without words are copies of each other.  All
+    columns are kept.  Of repeated rows with one id and text, one stays; an empty table gives an empty one.
     """
-    marked = checkpointed(fingerprints(docs, words, seed))
-    return keep_rows(docs, marked, _rooted(marked, max_bits, crowd).select("fp", "root"))
+    marked = stored(fingerprints(docs, words, seed, sets=True))
+    nodes = stored(marked.where("n > 0").select("node", "fp", "n").distinct())
+    roots = wide_classes(nodes, max_bits, percent, _by_jaccard(docs, marked, words, percent, seed))
+    placed = marked.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return _first_rows(docs, marked.select("doc_id", "th", "node"), checkpointed(placed))
 
 
-def keep_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
-    """The first document of each class, given ``marked(doc_id, th, fp)`` of the rows and ``roots(fp, root)`` of all codes."""
+def _first_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first document of each class, given ``marked(doc_id, th, node)`` of the rows and ``roots(node, root)`` of all nodes."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    # Per fingerprint before the join with the classes, so that hot fingerprints are one row each.
-    by_code = checkpointed(marked.groupBy("fp").agg(first.alias("one")))
-    by_root = by_code.join(roots, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    # Per node before the join with the classes, so that hot nodes are one row each.
+    by_node = checkpointed(marked.groupBy("node").agg(first.alias("one")))
+    by_root = by_node.join(roots, "node").groupBy("root").agg(F.min("one").alias("one"))
     kept = checkpointed(by_root.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th")))
     again = marked.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = kept.join(again, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("_id", "_th")
