@@ -1,8 +1,8 @@
 """Class-based bigram language model in the manner of Brown et al. (1992), classes by exchange.
 
-The corpus is counted as a whole.  What grows with its vocabulary stays in tables and is
-joined; what is sent to the tasks (the ``listed`` most frequent words with their classes, and
-the class matrices) is bounded by parameters.
+The corpus is counted as a whole and every training word has a class.  The most frequent words are clustered first; then
+all words of the vocabulary move in rounds, each to the class that fits its contexts best.  What grows with the vocabulary,
+the table of words with their counts and classes, is stored and joined; only the ``listed`` most frequent words are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -15,25 +15,26 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, crc_mod, stored, text_bytes
+from weftline.llm.common import chunks, crc_mod, dropped, stored, text_bytes
 
 #: The end of a text.  Words hold no white space, so it is none of them.
 END = b"\n"
-#: Bytes of a listed word at most; longer ones are looked up in the table of all words.
+#: Bytes of a listed word at most, so that the list is bounded; longer words are told by the table, as rarer ones are.
 LONGEST = 256
-#: Distinct words that a counting task holds before it passes them on.
-HELD = 400_000
+#: Distinct words that a counting task holds before it passes them on, and contexts that are counted at a time.
+HELD, CONTEXTS = 400_000, 4_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    listed: int = 1 << 17  #: words that get a class of their own choice and are sent to every task
-    core: int = 2048  #: words clustered by exchange over their full bigram counts
-    classes: int = 32  #: classes, the one of the text's end included
-    sweeps: int = 8  #: exchange sweeps at most
+    listed: int = 1 << 17  #: words sent to every task; they are the neighbours that later rounds look at
+    core: int = 2048  #: words that are clustered first, over their full bigram counts
+    classes: int = 0  #: classes, that of the text's end included (0: the cube root of the number of words, 8 to 96)
+    sweeps: int = 6  #: exchange sweeps over the core at most
+    rounds: int = 2  #: exchange rounds over the whole vocabulary; the first looks at core neighbours only
     weight: float = 0.93  #: share of the class model; the rest is the unigram model
     prior: float = 2.0  #: pseudo-transitions that follow the class frequencies
 
@@ -63,104 +64,183 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("b").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Tokens of the texts in a row, their numbers (-1: not listed) and where each text starts."""
-    words: list[bytes] = []
-    starts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        starts[i] = len(words)
-        words += text.lower().split()
-        words.append(END)
-    return words, np.array(list(map(known.get, words, repeat(-1))), np.int64), starts
+def _encoded(listed):
+    """Texts as numbers: of the list (from 0), or, below 0, of the text's other words (-1 the first), which come along."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(listed.value)}
+        key = (TaskContext.get().partitionId() + 1) << 40
+        for batch in batches:
+            at = 0
+            for texts in chunks(t.as_py() for t in batch.column(2)):
+                numbers, others = [], []
+                for text in texts:
+                    words = text.lower().split()
+                    words.append(END)
+                    ids = np.array(list(map(known.get, words, repeat(-1))), "<i4")
+                    own: dict[bytes, int] = {}
+                    for i in np.flatnonzero(ids < 0).tolist():
+                        ids[i] = own.setdefault(words[i], -1 - len(own))
+                    numbers.append(ids.tobytes())
+                    others.append(list(own))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(key, key + len(texts)), pa.int64()),
+                        *(batch.column(i).slice(at, len(texts)) for i in (0, 1)),
+                        pa.array(numbers, pa.binary()),
+                        pa.array(others, pa.list_(pa.binary())),
+                    ],
+                    ["key", "doc_id", "held_out", "ids", "others"],
+                )
+                key += len(texts)
+                at += len(texts)
 
-def _before(classes: np.ndarray, tail: int) -> np.ndarray:
-    """For each token the class of the nearest token before it that isn't of the tail.
+    return run
 
-    Every text ends with END (class 0), so nothing is carried from one text to the next, and
-    a text's first token follows class 0.
-    """
-    at = np.where(classes != tail, np.arange(len(classes)), -1)
-    last = np.concatenate(([-1], np.maximum.accumulate(at)[:-1]))
-    return np.where(last >= 0, classes[last], 0)
 
+def word_id(word):
+    """Words beyond the list are told by 64 bits."""
+    return F.xxhash64(word)
 
-def _summed(codes: np.ndarray) -> pa.RecordBatch:
-    values, counts = np.unique(codes, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["code", "n"])
 
+def encoded(docs: DataFrame, listed: list[bytes]) -> DataFrame:
+    """``docs(doc_id, held_out, b)`` with their words numbered: ``(key, doc_id, held_out, ids, others)``, others as :func:`word_id`."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(listed)
+    rows = docs.select("doc_id", "held_out", "b").mapInArrow(
+        _encoded(sent), f"key long, doc_id {kind}, held_out boolean, ids binary, others array<binary>"
+    )
+    return stored(rows.withColumn("others", F.transform("others", word_id)))
 
-def _merged(found: Iterator[np.ndarray], held: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """Counts of the codes, gathered over about ``held`` of them at a time."""
-    waiting, size = [], 0
-    for codes in found:
-        waiting.append(codes)
-        size += len(codes)
-        if size >= held:
-            yield _summed(np.concatenate(waiting))
-            waiting, size = [], 0
-    if size:
-        yield _summed(np.concatenate(waiting))
 
+def _joined(batch: pa.RecordBatch, ids: str = "ids") -> Iterator[tuple[slice, np.ndarray, np.ndarray, list]]:
+    """Groups of a batch's texts: their rows, numbers in a row, where each text starts, and for each text its first other word.
 
-def _numbered(words: list[bytes]) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(words)}
+    Other words have numbers from -1 down over the whole group.
+    """
+    column, others = batch.column(ids), batch.column("others")
+    at = 0
+    for texts in chunks((t.as_py() for t in column), 1 << 22):
+        rows = slice(at, at + len(texts))
+        sizes = np.array([len(t) // 4 for t in texts])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        found = np.frombuffer(b"".join(texts), "<i4").astype(np.int64)
+        part = others.slice(at, len(texts))
+        more = np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
+        first = np.concatenate(([0], np.cumsum(more)[:-1]))
+        found = np.where(found < 0, found - np.repeat(first, sizes), found)
+        yield rows, found, starts, part.flatten()
+        at += len(texts)
 
 
-def _core_bigrams(words, core: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _numbered(words.value[:core])
+def _summed(codes: np.ndarray) -> pa.RecordBatch:
+    values, counts = np.unique(codes, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["code", "n"])
 
-        def codes() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for texts in chunks(t.as_py() for t in batch.column(0)):
-                    _, ids, starts = _ids(texts, known)
-                    last = np.concatenate(([0], ids[:-1]))
-                    last[starts] = 0
-                    both = (ids >= 0) & (last >= 0)
-                    yield last[both] * core + ids[both]
 
-        yield from _merged(codes())
+def _core_bigrams(core: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            for _, ids, starts, _ in _joined(batch):
+                last = np.concatenate(([0], ids[:-1]))
+                last[starts] = 0
+                both = (ids >= 0) & (last >= 0) & (ids < core) & (last < core)
+                waiting.append(last[both] * core + ids[both])
+                size += len(waiting[-1])
+                if size >= CONTEXTS:
+                    yield _summed(np.concatenate(waiting))
+                    waiting, size = [], 0
+        if size:
+            yield _summed(np.concatenate(waiting))
 
     return run
 
 
-def _contexts(words, classes, core: int, width: int):
-    """Counts of (word, class of the nearest core word before it) for listed words beyond the core."""
+def _contexts(sent, width: int, core: int, least: int):
+    """Counts of (word, class before, class after); ``width`` stands for a neighbour without class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _numbered(words.value)
-        of = np.append(classes.value, width)
+    Words of the list come from number ``least`` on.  For the core, either side is counted alone: that takes fewer rows.
+    """
 
-        def codes() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for texts in chunks(t.as_py() for t in batch.column(0)):
-                    _, ids, _ = _ids(texts, known)
-                    before = _before(np.where(ids < core, of[np.where(ids < core, ids, -1)], width), width)
-                    wanted = ids >= core
-                    yield ids[wanted] * width + before[wanted]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, names = sent.value
+        of = np.append(classes, width)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, pairs = 0, (width + 1) ** 2
+
+        def out() -> pa.RecordBatch:
+            words, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((codes, words))
+            words, codes = words[order], codes[order]
+            new = np.concatenate(([True], (words[1:] != words[:-1]) | (codes[1:] != codes[:-1])))
+            at = np.flatnonzero(new)
+            counts = np.diff(np.append(at, len(words)))
+            return pa.RecordBatch.from_arrays([pa.array(words[at]), pa.array(codes[at].astype(np.int32)), pa.array(counts)], ["id", "code", "n"])
 
-        yield from _merged(codes())
+        for batch in batches:
+            for _, ids, starts, others in _joined(batch):
+                other = others.to_numpy(zero_copy_only=False).astype(np.int64)
+                now = np.where(ids >= 0, of[np.maximum(ids, -1)], width)
+                before = np.concatenate(([0], now[:-1]))
+                before[starts] = 0
+                after = np.append(now[1:], 0)
+                wanted = (ids >= least) | (ids < 0)
+                ids, before, after = ids[wanted], before[wanted], after[wanted]
+                often = (ids >= 0) & (ids < core)
+                code = before * (width + 1) + np.where(often, width, after)
+                ids, code = np.append(ids, ids[often]), np.append(code, width * (width + 1) + after[often])
+                known = ids >= 0
+                word = np.empty(len(ids), np.int64)
+                word[known] = names[ids[known]]
+                word[~known] = other[-1 - ids[~known]]
+                told = code != pairs - 1
+                held.append((word[told], code[told]))
+                size += len(held[-1][0])
+                if size >= CONTEXTS:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
     return run
 
 
-def _transitions(words, classes, width: int):
+def _transitions(sent, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _numbered(words.value)
-        of = np.append(classes.value, width)
-        total = np.zeros((width + 1) ** 2, np.int64)
+        classes = sent.value
+        total = np.zeros(width**2, np.int64)
         for batch in batches:
-            for texts in chunks(t.as_py() for t in batch.column(0)):
-                _, ids, _ = _ids(texts, known)
-                now = of[ids]
-                total += np.bincount(_before(now, width) * (width + 1) + now, minlength=len(total))
+            for rows, ids, _, _ in _joined(batch):
+                now = _looked_up(ids, classes, _flat(batch, "ks", rows))
+                seen = now >= 0
+                total += np.bincount(_before(now)[seen] * width + now[seen], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
     return run
 
 
+def _flat(batch: pa.RecordBatch, name: str, rows: slice) -> np.ndarray:
+    return batch.column(name).slice(rows.start, rows.stop - rows.start).flatten().to_numpy(zero_copy_only=False)
+
+
+def _looked_up(ids: np.ndarray, listed: np.ndarray, others: np.ndarray) -> np.ndarray:
+    both = np.concatenate((listed, others[::-1]))  # so that -1 is the first of the others
+    return both[ids]
+
+
+def _before(classes: np.ndarray) -> np.ndarray:
+    """For each token the class of the nearest token before it that training saw (unseen ones are -1).
+
+    Every text ends with END (class 0), so nothing is carried from one text to the next, and
+    a text's first token follows class 0.
+    """
+    at = np.where(classes >= 0, np.arange(len(classes)), -1)
+    last = np.concatenate(([-1], np.maximum.accumulate(at)[:-1]))
+    return np.where(last >= 0, classes[last], 0)
+
+
 def _g(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -216,179 +296,230 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+def joining_gains(cells: np.ndarray, words: np.ndarray, codes: np.ndarray, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each word (row) and class (column) what the likelihood gains if the word joins that class.
+
+    ``words`` number the words from 0, in order; ``codes`` are (class before, class after) with ``len(cells)`` for none.
+    ``own`` is each word's class now (-1: none yet); for it, the gain of having the word is taken, so that to stay costs nothing.
+    Other words are taken as they are: all words of a round choose at once.
+    """
+    width, n = len(cells), len(own)
+    gain = np.zeros((n, width))
+    for side, table in ((codes // (width + 1), cells), (codes % (width + 1), cells.T)):
+        # Before: how often each class follows that class.  After: how often each class precedes that one.
+        there = side < width
+        key, inverse = np.unique(words[there] * width + side[there], return_inverse=True)
+        x = np.bincount(inverse, weights=counts[there], minlength=len(key))
+        w, c = key // width, key % width
+        totals = np.bincount(w, weights=x, minlength=n)
+        g_table = _g(table)
+        for lot in range(0, len(key), 1 << 16):
+            part = slice(lot, lot + (1 << 16))
+            add = _g(table[c[part]] + x[part, None]) - g_table[c[part]]
+            mine = own[w[part]]
+            at = np.flatnonzero(mine >= 0)
+            have = table[c[part][at], mine[at]]
+            add[at, mine[at]] = _g(have) - _g(np.maximum(have - x[part][at], 0))
+            first = np.flatnonzero(np.concatenate(([True], w[part][1:] != w[part][:-1])))
+            gain[w[part][first]] += np.add.reduceat(add, first, axis=0)
+        sizes = table.sum(0)
+        add = _g(sizes + totals[:, None]) - _g(sizes)
+        at = np.flatnonzero(own >= 0)
+        add[at, own[at]] = _g(sizes[own[at]]) - _g(np.maximum(sizes[own[at]] - totals[at], 0))
+        gain -= add
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def _moved(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value
+        for batch in batches:
+            seen, own = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
+            sizes = np.array([len(x) if x.is_valid else 0 for x in seen], np.int64)
+            flat = seen.flatten()
+            codes, counts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten())
+            gain = joining_gains(cells, np.repeat(np.arange(len(own)), sizes), codes, counts, own.astype(np.int64))
+            best = np.argmax(gain, axis=1)
+            stay = (own >= 0) & (gain[np.arange(len(own)), np.maximum(own, 0)] >= gain.max(1) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(stay, own, best), pa.int32())], ["id", "k"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Model:
-    words: list  #: the listed words, END first, then by falling count
+    listed: list  #: the words sent to tasks, END first, then by falling count
     counts: np.ndarray  #: their counts
     classes: np.ndarray  #: their classes
-    step: np.ndarray  #: probability of each class (the last: the tail) after each class
+    step: np.ndarray  #: probability of each class after each class
     emit: np.ndarray  #: 1 / tokens of each class
     total: int  #: training tokens (N)
     distinct: int  #: distinct training tokens (V)
     unseen: float  #: probability of a word that training didn't hold
     weight: float
-    table: DataFrame  #: ``(word, c)`` of all words
+    table: DataFrame  #: ``(id, word, c, k)`` of all words: counts and classes
 
 
-def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit the model to ``texts(b)``.  No count is cut: words beyond the listed ones share the tail class."""
+@dataclass(frozen=True)
+class _Start:
+    """What is known when the words are counted."""
+
+    table: DataFrame  #: ``(id, word, c)``
+    listed: list
+    ids: np.ndarray  #: of the listed words
+    counts: np.ndarray
+    total: int
+    distinct: int
+    once: int
+
+
+def counted(texts: DataFrame, settings: Settings) -> _Start:
+    table = stored(word_counts(texts).select(word_id("word").alias("id"), "word", "c"))
+    word = F.col("word") != F.lit(END)
+    row = table.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
+        F.coalesce(F.sum(F.when(word & (F.col("c") == 1), 1)), F.lit(0)).alias("once"), F.coalesce(F.sum(F.when(~word, F.col("c"))), F.lit(0)).alias("ends"),
+    ).first()
+    top = table.where(word & (F.length("word") <= LONGEST)).orderBy(F.desc("c"), "word").limit(settings.listed).select("id", "word", "c").toArrow()
+    end = texts.sparkSession.range(1).select(word_id(F.lit(END)).alias("id")).first()["id"]
+    ids = np.concatenate(([end], top["id"].to_numpy())).astype(np.int64)
+    counts = np.concatenate(([row["ends"]], top["c"].to_numpy())).astype(np.int64)
+    return _Start(table, [END, *top["word"].to_pylist()], ids, counts, row["n"], row["v"], row["once"])
+
+
+def train(texts: DataFrame, start: _Start, settings: Settings = Settings()) -> tuple[DataFrame, np.ndarray, int]:
+    """The ``(id, word, c, k)`` of all words, the listed words' classes and the number of classes, from encoded ``texts``."""
     spark = texts.sparkSession
-    table = stored(word_counts(texts))
-    shape = table.where(F.col("word") != F.lit(END)).groupBy("c").agg(F.count(F.lit(1)).alias("k")).toPandas()
-    shape = shape.sort_values("c", ascending=False)
-    fits = shape[shape.k.cumsum() < settings.listed]
-    least = int(fits.c.min()) if len(fits) else None
-    rows = [] if least is None else (
-        table.where((F.col("c") >= least) & (F.col("word") != F.lit(END)) & (F.length("word") <= LONGEST)).toArrow().to_pylist()
-    )
-    rows.sort(key=lambda r: (-r["c"], r["word"]))
-    ends = table.where(F.col("word") == F.lit(END)).first()
-    words = [END, *(bytes(r["word"]) for r in rows)]
-    counts = np.array([ends["c"] if ends else 0, *(r["c"] for r in rows)], np.int64)
-    total = int((shape.c * shape.k).sum() + counts[0])
-    distinct = int(shape.k.sum() + (1 if ends else 0))
-    once = int(shape.k[shape.c == 1].sum())
-
-    core, width = min(settings.core, len(words)), settings.classes
-    sent = spark.sparkContext.broadcast(words)
-    pairs = texts.select("b").mapInArrow(_core_bigrams(sent, core), "code long, n long")
-    pairs = pairs.groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # core * core cells at most
+    width = settings.classes or int(min(96, max(8, round(start.distinct ** (1 / 3)))))
+    core = min(settings.core, len(start.listed))
+    pairs = texts.mapInArrow(_core_bigrams(core), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # core * core at most
     bigrams = np.zeros(core * core)
     bigrams[pairs["code"].to_numpy()] = pairs["n"].to_numpy()
     bigrams = bigrams.reshape(core, core)
-    classes = np.concatenate((exchange(bigrams, width, settings.sweeps), np.full(len(words) - core, width - 1)))
-
-    if len(words) > core:
-        cells = np.zeros((width, width))
-        np.add.at(cells, (classes[:core, None].repeat(core, 1).ravel(), classes[None, :core].repeat(core, 0).ravel()), bigrams.ravel())
-        # How much likelier each class is after each class than at large: the gain of one token that joins it.
-        gain = np.log((cells + 0.1) * (cells.sum() + 0.1) / np.outer(cells.sum(1) + 0.1, cells.sum(0) + 0.1))
-        gain[:, 0] = -1e9
-        sent_classes = spark.sparkContext.broadcast(classes[:core])
-        found = texts.select("b").mapInArrow(_contexts(sent, sent_classes, core, width), "code long, n long")
-        found = found.groupBy("code").agg(F.sum("n").alias("n"))
-        of = F.expr(f"code div {width}").alias("id")
-        by_word = found.select(of, (F.col("code") % width).alias("k"), "n").groupBy("id").agg(
-            F.collect_list(F.struct("k", "n")).alias("seen")  # one for each class at most
+    classes = np.full(len(start.listed), width, np.int64)
+    classes[:core] = exchange(bigrams, width, settings.sweeps)
+    one = np.eye(width)[classes[:core]]
+    cells = one.T @ bigrams @ one
+    ids = start.ids
+
+    seeds = spark.createDataFrame(pa.table({"id": ids[:core], "k": classes[:core].astype(np.int32)}))
+    table = start.table.join(seeds, "id", "left")
+    for turn in range(settings.rounds):
+        least = core if turn == 0 else 1
+        sent = spark.sparkContext.broadcast((classes, ids))
+        found = texts.mapInArrow(_contexts(sent, width, core, least), "id long, code int, n long").groupBy("id", "code").agg(F.sum("n").alias("n"))
+        # Pairs of classes: a bounded number for each word.
+        found = found.groupBy("id").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
+        movers = table.select("id", "word", "c", "k").join(found, "id", "left")
+        moving = F.col("seen").isNotNull() if turn else F.col("seen").isNotNull() & F.col("k").isNull()
+        if turn:
+            cells = _cells(texts, classes, width)
+        fit = spark.sparkContext.broadcast(cells)
+        moves = movers.where(moving).select("id", F.coalesce("k", F.lit(-1)).alias("k"), "seen").mapInArrow(_moved(fit), "id long, k int")
+        # A word of which no neighbour has a class joins the class of most words.
+        usual = F.lit(int(1 + np.argmax(np.bincount(classes[1:core], minlength=width)[1:width])) if core > 1 else 1)
+        table = stored(
+            table.join(moves.withColumnRenamed("k", "to"), "id", "left").select("id", "word", "c", F.coalesce("to", "k", usual).cast("int").alias("k"))
         )
-        for row in by_word.mapInArrow(_assigned(gain), "id long, k long").toArrow().to_pylist():
-            classes[row["id"]] = row["k"]
-
-    sent_classes = spark.sparkContext.broadcast(classes)
-    cells = np.zeros((width + 1) ** 2)
-    moves = texts.select("b").mapInArrow(_transitions(sent, sent_classes, width), "code long, n long")
-    for row in moves.groupBy("code").agg(F.sum("n").alias("n")).collect():  # classes * classes rows
-        cells[row["code"]] = row["n"]
-    cells = cells.reshape(width + 1, width + 1)
-    sizes = np.bincount(classes, weights=counts, minlength=width + 1)
-    sizes[width] = total - counts.sum()
-    share = sizes / max(total, 1)
-    step = (cells + settings.prior * share) / (cells.sum(1, keepdims=True) + settings.prior)
-    unseen = max(once, 0.5) / (total + 1) if total else 1.0
-    return Model(words, counts, classes, step, 1 / np.maximum(sizes, 1), total, distinct, min(unseen, 1.0), settings.weight, table)
+        listed = table.join(F.broadcast(spark.createDataFrame(pa.table({"id": ids, "at": np.arange(len(ids))}))), "id").select("at", "k").toArrow()
+        classes[listed["at"].to_numpy()] = listed["k"].to_numpy()
+    if not settings.rounds:
+        table = table.withColumn("k", F.coalesce("k", F.lit(1)))
+    return table, np.where(classes < width, classes, 1), width
+
 
+def _cells(texts: DataFrame, classes: np.ndarray, width: int) -> np.ndarray:
+    """Counts of neighbouring classes of listed words."""
+    sent = texts.sparkSession.sparkContext.broadcast(classes)
 
-def _assigned(gain: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.append(sent.value, width)
+        total = np.zeros((width + 1) ** 2, np.int64)
         for batch in batches:
-            best = []
-            for seen in batch.column(1).to_pylist():
-                score = np.zeros(len(gain))
-                for x in seen:
-                    score += x["n"] * gain[x["k"]]
-                best.append(int(np.argmax(score)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int64())], ["id", "k"])
+            for _, ids, starts, _ in _joined(batch):
+                now = np.where(ids >= 0, of[np.maximum(ids, -1)], width)
+                before = np.concatenate(([0], now[:-1]))
+                before[starts] = 0
+                total += np.bincount(before * (width + 1) + now, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
-    return run
+    return _matrix(texts.mapInArrow(run, "code long, n long"), width + 1)[:width, :width]
 
 
-_SCORED = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("log_a", pa.float64())]))
+def _matrix(cells: DataFrame, width: int) -> np.ndarray:
+    rows = cells.groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # classes * classes rows
+    out = np.zeros(width * width)
+    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(width, width)
 
 
-def _scored(words, model):
-    """Sums over the listed tokens of each text, and its other tokens for the join.
+def resolved(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """Encoded texts with the classes ``ks`` (-1: not in training) and counts ``cs`` of their other words, found by a join."""
+    each = texts.select("key", F.posexplode("others").alias("j", "id")).join(table.select("id", "k", "c"), "id", "left")
+    entry = F.struct("j", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("c", F.lit(0)).alias("c"))
+    found = each.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("found"))  # one text's distinct words
+    both = texts.join(found, "key", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<j: int, k: int, c: bigint>>")))
+    return stored(both.select("doc_id", "held_out", "ids", "others", F.col("found.k").alias("ks"), F.col("found.c").alias("cs")))
 
-    An unlisted word with count c has probability a * c, where a depends on the class before.
-    """
 
+def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _numbered(words.value)
-        counts, classes, step, emit, total, distinct, unseen, weight = model.value
-        tail = len(step) - 1
-        of = np.append(classes, tail)
-        base = np.log10((np.append(counts, 0) + 0.1) / (total + 0.1 * (distinct + 1)))
-        chance = np.append(counts, 1.0)  # of an unlisted word: for one of its occurrences in training
-        key = (TaskContext.get().partitionId() + 1) << 40
-        # An end token that training never saw is an unseen word.
-        never = counts[0] == 0
+        counts, classes, step, emit, total, distinct, unseen, weight = sent.value
+        if not counts[0]:  # an end that training never saw is an unseen word
+            classes = np.concatenate(([-1], classes[1:]))
         for batch in batches:
-            at = 0
-            for texts in chunks(t.as_py() for t in batch.column(2)):
-                tokens, ids, starts = _ids(texts, known)
-                now = of[ids]
-                p = (1 - unseen) * chance[ids] * (weight * step[_before(now, tail), now] * emit[now] + (1 - weight) / max(total, 1))
-                if never:
-                    p[ids == 0] = unseen
-                listed = ids >= 0
-                log_p = np.log10(np.maximum(p, 1e-300))
-                sums = [np.add.reduceat(np.where(listed, x, 0), starts) for x in (np.ones(len(ids), np.int64), base[ids], log_p)]
-                if never:
-                    sums[0] -= 1
-                lengths = np.diff(np.append(starts, len(ids)))
-                rest: list[dict] = [{} for _ in texts]
-                others = np.flatnonzero(~listed)
-                for i, text in zip(others.tolist(), (np.searchsorted(starts, others, side="right") - 1).tolist(), strict=True):
-                    n, log_a = rest[text].get(tokens[i], (0, 0.0))
-                    rest[text][tokens[i]] = (n + 1, log_a + log_p[i])
-                found = [[{"word": w, "n": n, "log_a": a} for w, (n, a) in r.items()] for r in rest]
-                size = len(texts)
+            for rows, ids, starts, _ in _joined(batch):
+                now, c = _looked_up(ids, classes, _flat(batch, "ks", rows)), _looked_up(ids, counts, _flat(batch, "cs", rows))
+                base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+                p = (1 - unseen) * c * (weight * step[_before(now), now] * emit[now] + (1 - weight) / max(total, 1))
+                logs = np.log10(np.maximum(np.where(now >= 0, p, unseen), 1e-300))
+                sums = [np.add.reduceat(x, starts) for x in ((now >= 0).astype(np.int64), base, logs)]
+                size = rows.stop - rows.start
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(key, key + size), pa.int64()),
-                        *(batch.column(i).slice(at, size) for i in (0, 1)),
-                        *(pa.array(x) for x in (lengths, *sums)),
-                        pa.array(found, _SCORED),
+                        *(batch.column(name).slice(rows.start, size) for name in ("doc_id", "held_out")),
+                        pa.array(np.diff(np.append(starts, len(ids)))), pa.array(sums[0]), pa.array(np.full(size, total)), *map(pa.array, sums[1:]),
                     ],
-                    ["key", "doc_id", "held_out", "n_tokens", "known", "base", "logp", "rest"],
-                )
-                key += size
-                at += size
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, held_out, b)``."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(model.words)
-    parts = context.broadcast(
+def fit(texts: DataFrame, resolved_texts: DataFrame, start: _Start, table: DataFrame, classes: np.ndarray, width: int, settings: Settings) -> Model:
+    """Transition and emission probabilities of the classes, over all training tokens."""
+    sent = texts.sparkSession.sparkContext.broadcast(classes)
+    cells = _matrix(resolved_texts.where("NOT held_out").mapInArrow(_transitions(sent, width), "code long, n long"), width)
+    sizes = np.zeros(width)
+    for row in table.groupBy("k").agg(F.sum("c").alias("c")).collect():  # one for each class
+        sizes[row["k"]] = row["c"]
+    share = sizes / max(start.total, 1)
+    step = (cells + settings.prior * share) / (cells.sum(1, keepdims=True) + settings.prior)
+    unseen = max(start.once, 0.5) / (start.total + 1) if start.total else 1.0
+    return Model(start.listed, start.counts, classes, step, 1 / np.maximum(sizes, 1), start.total, start.distinct, min(unseen, 1.0), settings.weight, table)
+
+
+def learn(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
+    """The model of those ``docs(doc_id, held_out, b)`` that aren't held out, and all of them resolved for :func:`score`."""
+    start = counted(docs.where("NOT held_out"), settings)
+    texts = encoded(docs, start.listed)
+    table, classes, width = train(texts.where("NOT held_out"), start, settings)
+    ready = resolved(texts, table)
+    model = fit(texts, ready, start, table, classes, width, settings)
+    dropped(texts)
+    return model, ready
+
+
+def score(ready: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of resolved texts."""
+    sent = ready.sparkSession.sparkContext.broadcast(
         (model.counts, model.classes, model.step, model.emit, model.total, model.distinct, model.unseen, model.weight)
     )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, logp double, "
-        "rest array<struct<word: binary, n: long, log_a: double>>"
-    )
-    first = stored(docs.select("doc_id", "held_out", "b").mapInArrow(_scored(sent, parts), schema))
-    rest = first.select("key", F.explode("rest").alias("r")).select("key", "r.*")
-    rest = rest.join(model.table, "word", "left")
-    c, n = F.coalesce("c", F.lit(0)), F.col("n")
-    known: Column = F.col("c").isNotNull()
-    sums = rest.groupBy("key").agg(
-        F.sum(F.when(known, n).otherwise(0)).alias("known_2"),
-        F.sum(n * F.log10((c + 0.1) / F.lit(model.total + 0.1 * (model.distinct + 1)))).alias("base_2"),
-        F.sum(F.when(known, F.col("log_a") + n * F.log10(F.greatest(c, F.lit(1)))).otherwise(n * F.lit(float(np.log10(model.unseen))))).alias("logp_2"),
-    )
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    return first.drop("rest").join(sums, "key", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + zero("known_2")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base_2")).alias("base_score"),
-        (F.col("logp") + zero("logp_2")).alias("score"),
-    )
+    kind = ready.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return ready.mapInArrow(_scored(sent), schema)
 
 
 def brown_scores(docs: DataFrame, folds: int = 10, held: int = 0, settings: Settings = Settings()) -> DataFrame:
@@ -396,10 +527,14 @@ def brown_scores(docs: DataFrame, folds: int = 10, held: int = 0, settings: Sett
 
     P(w | before) = (1 - u) * (weight * P(class | class before) * c(w) / c(class) + (1 - weight) * c(w) / N) for a
     word seen in training; any other word is one event of probability u, the share of the words
-    seen once.  These sum to 1.  The class before is that of the nearest word before w that is not of the
-    tail class.  A null text counts as empty (one token, its end); a null doc_id counts as empty
+    seen once.  These sum to 1.  The class before is that of the nearest word before w that training saw.
+    Every training word has a class, whatever its count or length, and its transitions count; the classes are found by exchange
+    (see :func:`train`).
+
+    A null text counts as empty (one token, its end); a null doc_id counts as empty
     text for the fold; without training rows every token has probability 1.  Repeated rows give
     repeated results and columns other than doc_id and text are ignored.
     """
     marked = docs.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), text_bytes().alias("b"))
-    return score(marked, train(marked.where(~F.col("held_out")), settings))
+    model, ready = learn(marked, settings)
+    return score(ready, model)

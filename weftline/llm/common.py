@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from weftline.plans.materialize import checkpointed, shared_folder
 
-__all__ = ["Guarded", "bounded_sample", "checkpointed", "chunks", "crc_mod", "stored", "table", "text_bytes"]
+__all__ = ["Guarded", "bounded_sample", "checkpointed", "chunks", "crc_mod", "dropped", "stored", "table", "text_bytes"]
 
 
 class Guarded:
@@ -57,6 +57,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of :func:`stored` tables that nothing reads any more."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if folder.rsplit("/", 1)[-1].startswith("table-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
     """Consecutive texts, gathered up to about ``most`` bytes (one text at least)."""
     group, size = [], 0
