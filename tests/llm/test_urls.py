@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -58,36 +60,64 @@ def test_hosts_paths_and_rules(spark, pages):
         assert got[i].verdict == (verdict or ("block" if got[i].score > 0 else "allow"))
 
 
+BAD = ("casino", "spam", "cheap", "pills")
+
+
 def test_method_blocks_concatenated_names(spark, pages):
-    """No host names a blocked word by itself: they have to be split."""
-    got = [r for r in urls.judge(spark.createDataFrame(pages, PAGES), []).collect() if r.page_id >= 100]
+    """Labels of half the pages; no host names a word by itself: they have to be split."""
+    labels = [(i, int(any(w in u for w in BAD))) for i, u, _ in pages if i >= 100 and i % 2]
+    got = urls.judge(spark.createDataFrame(pages, PAGES), [], spark.createDataFrame(labels, "page_id long, block int")).collect()
     for r in got:
-        bad = any(w in r.host for w in ("casino", "spam", "cheap", "pills"))
-        assert (r.verdict == "block") == bad, r
-        assert set(r.host_words.split()) <= {"river", "stone", "garden", "music", "paper", "casino", "spam", "cheap", "pills", "www", "blog", "example", "com", "net", "org"}
+        if r.page_id >= 100:
+            assert (r.verdict == "block") == any(w in r.host for w in BAD), r
+            assert set(r.host_words.split()) <= {"river", "stone", "garden", "music", "paper", *BAD, "www", "blog", "example", "com", "net", "org"}
 
 
-def test_scores_against_naive_bayes_by_hand(spark, pages):
-    rows = [p for p in pages if p[0] >= 100]
-    got = urls.judge(spark.createDataFrame(rows, PAGES), []).collect()
-    bad_words = set(urls.BLOCKED_WORDS.split())
-    docs = []
-    for r in got:
-        path = [w if w.isalpha() else "0" for w in r.path.strip("/").split("/")]
-        docs.append((r.host_words.split() + path, bool(bad_words & set(r.host_words.split())), r.score))
-    vocabulary = sorted({w for d, _, _ in docs for w in d})
-    count = {(w, k): sum(d.count(w) for d, b, _ in docs if b == k) + 0.5 for w in vocabulary for k in (True, False)}
+def by_hand(docs: list) -> list:
+    """Naive Bayes scores of (words, label) rows; rows labelled None are scored only."""
+    vocabulary = {w for d, b in docs for w in d}
+    count = {(w, k): sum(d.count(w) for d, b in docs if b is k) + 0.5 for w in vocabulary for k in (True, False)}
     total = {k: sum(count[w, k] for w in vocabulary) for k in (True, False)}
-    prior = math.log((sum(b for _, b, _ in docs) + 0.5) / (sum(not b for _, b, _ in docs) + 0.5))
-    for d, _, score in docs:
-        assert score == pytest.approx(prior + sum(math.log(count[w, True] / total[True]) - math.log(count[w, False] / total[False]) for w in d))
+    prior = math.log((sum(b is True for _, b in docs) + 0.5) / (sum(b is False for _, b in docs) + 0.5))
+    return [prior + sum(math.log(count[w, True] / total[True]) - math.log(count[w, False] / total[False]) for w in d) for d, _ in docs]
+
 
+def words_of(text: str, counts: dict, total: float) -> list:
+    """All words of a host or path by the split over the full counts, one run after another."""
+    out = []
+    for run in re.findall(r"[^\W\d_]+|\d+", text.lower()):
+        out += ["0"] if run.isdigit() else urls.split_words(run, counts, total)
+    return out
 
-def test_given_labels_replace_the_word_list(spark, pages):
+
+@pytest.mark.parametrize("given", [True, False])
+def test_scores_against_naive_bayes_by_hand(spark, pages, given):
+    """The words of hosts and paths are split over the full word counts; labels are the rules' verdicts, or given ones."""
     rows = [p for p in pages if p[0] >= 100]
-    marked = [(i,) for i, u, _ in rows if "stone" in u] + [(None,)]
-    got = urls.judge(spark.createDataFrame(rows, PAGES), [], spark.createDataFrame(marked, "page_id long")).collect()
-    assert all((r.verdict == "block") == ("stone" in r.host) for r in got)
+    counts = Counter(w for _, _, html in rows for w in re.findall("[a-z]+", html.replace("html", "").replace("<b>", "").replace("</b>", "")))
+    extra = max(1.0, 1e-5 * sum(counts.values()))
+    total = sum(counts.values()) + extra * len(set(urls.HOST_WORDS.split()))
+    for w in set(urls.HOST_WORDS.split()):
+        counts[w] += extra
+    labels = {i: i % 3 == 0 for i, _, _ in rows if i % 2}
+    table = spark.createDataFrame([(i, int(b)) for i, b in labels.items()] + [(None, 1), (102, None)], "page_id long, block int") if given else None
+    got = sorted(urls.judge(spark.createDataFrame(rows, PAGES), URL_RULES, table).collect(), key=lambda r: r.page_id)
+    docs = []
+    for i, url, _ in rows:
+        host, path = slow_parts(url)
+        verdict = slow_rule(host, path)[1]
+        docs.append((words_of(host, counts, total) + words_of(path, counts, total), labels.get(i) if given else None if verdict is None else verdict == "block"))
+    for r, score in zip(got, by_hand(docs), strict=True):
+        assert r.score == pytest.approx(score)
+
+
+def test_segmented_is_the_split_over_all_counts(spark):
+    rng = random.Random(6)
+    counts = {"".join(rng.choices("abc", k=rng.randint(1, 5))): float(rng.randint(1, 50)) for _ in range(60)}
+    runs = sorted({"".join(rng.choices("abcd", k=rng.choice([1, 5, 20, 63, 64, 300, 1024]))) for _ in range(40)})
+    table, total = spark.createDataFrame(list(counts.items()), "word string, c double"), sum(counts.values())
+    got = urls.segmented(spark.createDataFrame([(r,) for r in runs], "run string"), table, total).collect()
+    assert {r.run: r.words for r in got} == {r: urls.split_words(r, counts, total) for r in runs}
 
 
 @pytest.mark.parametrize("run", ["ab", "thecat", "xyzzy", "catdog", "aaaa", "z"])
@@ -109,6 +139,8 @@ def test_odd_tables(spark, pages):
     assert urls.judge(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
     nulls = spark.createDataFrame([(None, None, None), (1, "http://" + "x" * 70 + ".com/", ""), (1, "http://" + "x" * 70 + ".com/", "")], PAGES)
     rows = urls.judge(nulls.withColumns({c: F.lit("k") for c in ("key", "host", "path", "run", "words", "bad")}), URL_RULES).collect()
-    assert len(rows) == 3 and {r.host_words for r in rows if r.page_id == 1} == {"x" * 70 + " com"}
+    assert len(rows) == 3 and {r.host_words.replace(" ", "") for r in rows if r.page_id == 1} == {"x" * 70 + "com"}
     long = spark.createDataFrame([(1, "http://a.com/" + "ab/" * 100_000, "<p>" + "word " * 200_000)], PAGES)
     assert urls.judge(long, URL_RULES).first().path.count("ab") == 100_000
+    run = spark.createDataFrame([(1, "http://a.com/" + "ab" * 3_000, "<p>ab ab")], PAGES)
+    assert urls.judge(run, URL_RULES).first().verdict == "allow"

@@ -18,24 +18,19 @@ from weftline.llm.common import stored, text_bytes
 #: (verdict, host, path): a rule fits its host and all subdomains, if the path starts with its path.
 Rule = tuple[str, str, str]
 
-# Words that mark a host as one to block when no labels are given.
-BLOCKED_WORDS = (
-    "adult ads bet bets betting casino cialis escort gambling jackpot lottery malware pharma phishing pills poker "
-    "porn sex slots spam torrent track tracker viagra warez xxx"
-)
 # Common words of host names, known to the word model beside those of the pages.
 HOST_WORDS = (
     "best blog book buy cheap click daily deal direct download farm fast forum free game games global health home hot "
     "info live loan loans mail market media money news now online play shop site store top web win world"
 )
 
-#: Longest word of the word model, and longest run of letters that is split (the limit of a host's label).
-WORD, LABEL = 20, 63
+#: Longest word of the word model, and the letters of a run that are split at a time (many times a host's label).
+WORD, STRETCH = 20, 1024
 
 
 @dataclass(frozen=True)
 class Settings:
-    known_share: float = 1e-5  #: chance added to each word of the two lists above
+    known_share: float = 1e-5  #: chance added to each word of the list above
     smoothing: float = 0.5  #: added to each token count of the naive Bayes model
 
 
@@ -86,7 +81,7 @@ def word_counts(pages: DataFrame, settings: Settings) -> tuple[DataFrame, float]
     counts = counts.where(F.length("word") <= WORD).groupBy("word").agg(F.sum("c").cast("double").alias("c"))
     counts = stored(counts)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("t")).first()["t"]
-    known = sorted({*BLOCKED_WORDS.split(), *HOST_WORDS.split()})
+    known = sorted(set(HOST_WORDS.split()))
     extra = pages.sparkSession.createDataFrame([(w, max(1.0, settings.known_share * total)) for w in known], "word string, c double")
     both = counts.unionAll(extra).groupBy("word").agg(F.sum("c").alias("c"))
     return stored(both), total + len(known) * max(1.0, settings.known_share * total)
@@ -97,8 +92,6 @@ def split_words(run: str, counts: dict[str, float], total: float) -> list[str]:
 
     A word without count has chance ``1 / (total * 10 ** (length - 1))``.
     """
-    if len(run) > LABEL:
-        return [run]
     best = [(0.0, 0)] + [(-np.inf, 0)] * len(run)
     for end in range(1, len(run) + 1):
         for start in range(max(0, end - WORD), end):
@@ -117,9 +110,8 @@ def split_words(run: str, counts: dict[str, float], total: float) -> list[str]:
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run in batch.column(0).to_pylist():
-            if len(run) <= LABEL:
-                parts = sorted({run[a:b] for a in range(len(run)) for b in range(a + 1, min(a + WORD, len(run)) + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(parts)), pa.array(parts)], ["run", "word"])
+            parts = sorted({run[a:b] for a in range(len(run)) for b in range(a + 1, min(a + WORD, len(run)) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(parts)), pa.array(parts)], ["run", "word"])
 
 
 def _split(total: float):
@@ -139,7 +131,7 @@ def segmented(runs: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     The counts that a run's split needs, those of its substrings, are found by a join: the word model isn't sent anywhere.
     """
     found = runs.mapInArrow(_substrings, "run string, word string").join(counts, "word")
-    found = found.groupBy("run").agg(F.collect_list(F.struct("word", "c")).alias("known"))  # WORD * LABEL at most
+    found = found.groupBy("run").agg(F.collect_list(F.struct("word", "c")).alias("known"))  # WORD * STRETCH at most
     return stored(runs.join(found, "run", "left").select("run", "known").mapInArrow(_split(total), "run string, words array<string>"))
 
 
@@ -153,21 +145,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(text: Column) -> Column:
-    """Runs of letters in lower case, and ``0`` for each run of digits."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\d+"), F.lit(0)), lambda t: F.when(t.rlike(r"^\d"), "0").otherwise(t))
+    """Runs of letters in lower case, in stretches of ``STRETCH`` at most, and ``0`` for each run of digits."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{1,{STRETCH}}}+|\d++"), F.lit(0)), lambda t: F.when(t.rlike(r"^\d"), "0").otherwise(t))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], blocked: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score, host_words)``, one row for each row of ``pages(page_id, url, html)``.
 
     The longest fitting rule decides; without one, the naive Bayes model: ``block`` if the words of host and path are
-    likelier in pages to block (``score``, the log-odds, above 0).  The model learns from all pages.  Those
-    to block are those in ``blocked(page_id)``, or, if none are given, those whose host holds one of
-    ``BLOCKED_WORDS`` when it is split into words.  Words come from a unigram model of all pages' text.
+    likelier in pages to block (``score``, the log-odds, above 0).  The model learns from ``labels(page_id, block)``, or, if
+    none are given, from the pages that a rule fits, with the rule's verdict as their label; other pages
+    don't count.  Words come from a unigram model of all pages' text.
 
     A null url, or one without ``://``, has empty host and path, fits no rule and has the score of the prior
-    alone.  Runs of more than 63 letters stay whole.  Null html has no words.  Repeated pages give
-    repeated rows, each counted; an empty table gives no rows; other columns are ignored.
+    alone; without any label, all scores are 0 and such pages are allowed.  Runs of more than 1,024 letters are split in stretches of
+    1,024, each on its own.  Null html has no words.  Repeated pages give repeated rows, each counted; of contradictory labels
+    of one page, ``block`` holds; labels with nulls count for nothing; an empty table gives no rows; other columns are ignored.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -182,13 +175,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule], blocked: DataFrame | None = N
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("host_words")
     )
     hosts = keyed.select("key", "page_id").join(hosts, "key", "left")
-    if blocked is None:
-        bad = F.coalesce(F.arrays_overlap("host_words", F.array(*map(F.lit, BLOCKED_WORDS.split()))), F.lit(False))
-        marked = hosts.select("key", "host_words", bad.alias("bad"))
+    if labels is None:
+        ruled = longest_rule(F.col("host"), F.col("path"), rules)["verdict"]
+        told = keyed.select("key", (ruled == "block").alias("bad"))
     else:
-        named = blocked.where("page_id IS NOT NULL").select("page_id").distinct().withColumn("bad", F.lit(True))
-        marked = hosts.join(named, "page_id", "left").select("key", "host_words", F.coalesce("bad", F.lit(False)).alias("bad"))
-    marked = stored(marked)
+        named = labels.where("page_id IS NOT NULL AND block IS NOT NULL").groupBy("page_id").agg(F.max(F.col("block").cast("boolean")).alias("bad"))
+        told = keyed.select("key", "page_id").join(named, "page_id", "left").select("key", "bad")
+    marked = stored(hosts.select("key", "host_words").join(told, "key"))
 
     seen = tokens.select("key", F.explode("words").alias("word"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
