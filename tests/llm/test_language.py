@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -55,6 +56,65 @@ def test_features_of_long_texts_have_length_one():
     assert not language.features(b"", 13, 4).any()
 
 
+def slow_features(text: str, bits: int, orders: int) -> dict:
+    """By the definition, gram by gram."""
+    letters, last = [], ""
+    for b in text.encode():
+        c = chr(b).lower() if b < 128 and chr(b).isalpha() else chr(b) if b >= 128 else " "
+        if c != " " or last != " " or not letters:
+            letters.append(ord(c))
+        last = c
+    counts: dict = {}
+    for order in range(1, orders + 1):
+        for i in range(len(letters) - order + 1):
+            h = 0
+            for c in letters[i : i + order]:
+                h = (h * 263 + c + 1) % 2**32
+            slot = (h * 2654435761 % 2**32) >> (32 - bits)
+            counts[slot] = counts.get(slot, 0) + 1
+    total = sum(counts.values())  # square roots of counts, scaled to length 1
+    return {k: (n / total) ** 0.5 for k, n in counts.items()}
+
+
+def test_predictions_against_brute_force(make_docs, labelled):
+    """Features, margins, votes and scores computed apart from the weights of the trained machines."""
+    docs = make_docs(labelled).selectExpr("doc_id", "lang", "CAST(text AS BINARY) AS b")
+    settings = language.Settings(bits=10, per_language=60)
+    model = language.train(docs.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 != 2"), settings)
+    got = {r.doc_id: r for r in language.identify(make_docs(labelled), ["doc_id"], settings=settings).collect()}
+    for i, text, *_ in labelled[:150]:
+        x = slow_features(text, 10, 4)
+
+        def decide(group: int, names: list, x=x) -> tuple[str, float]:
+            if len(names) == 1:
+                return names[0], math.inf
+            votes, sums, worst = {n: 0 for n in names}, {n: 0.0 for n in names}, {n: math.inf for n in names}
+            for (g, a, b), w in zip(model.pairs, model.weights.T, strict=True):
+                if g == group:
+                    m = sum(v * float(w[k]) for k, v in x.items()) + float(w[-1])
+                    votes[names[a] if m >= 0 else names[b]] += 1
+                    for n, side in ((names[a], m), (names[b], -m)):
+                        sums[n] += side
+                        worst[n] = min(worst[n], side)
+            best = max(names, key=lambda n: (votes[n], sums[n], -names.index(n)))
+            return best, worst[best]
+
+        family, first = decide(-1, model.names)
+        at = model.names.index(family)
+        lang, second = decide(at, model.members[at])
+        score = 1.0
+        for margin in (first, second):
+            score /= 1 + math.exp(-settings.slope * min(margin, 50))
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, rel=1e-3)
+
+
+def test_very_many_values_of_lang_are_bounded(make_docs):
+    docs = make_docs([(i, f"text {i} of it", f"dirty{i}" if i % 3 else "en", "s") for i in range(300)]).selectExpr("doc_id", "lang", "CAST(text AS BINARY) AS b")
+    model = language.train(docs, language.Settings(languages=5, bits=8))
+    assert sum(map(len, model.members)) == 5 and ["en"] in model.members and len(model.pairs) == 10
+    assert {m[0] for m in model.members} == {"en", *sorted(f"dirty{i}" for i in range(300) if i % 3)[:4]}
+
+
 def test_winner_by_votes_then_margins():
     assert language._winner(3, [(0, 1, 1.0), (0, 2, 0.5), (1, 2, 2.0)]) == (0, 0.5)
     best, least = language._winner(3, [(0, 1, 1.0), (0, 2, -2.0), (1, 2, 0.5)])  # one vote each

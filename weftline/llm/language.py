@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Guarded, bounded_sample, chunks, crc_mod, text_bytes
+from weftline.llm.common import Guarded, bounded_sample, checkpointed, chunks, crc_mod, text_bytes
 
 UNKNOWN = "und"
 
@@ -38,6 +38,7 @@ def family_of(lang: str) -> str:
 class Settings:
     per_language: int = 400  #: training documents of a language at most
     sample: int = 4000  #: training documents in all, at most (five of each language at least)
+    languages: int = 128  #: languages that are learned, the most frequent ones; it bounds sample and model
     bits: int = 13  #: log2 of the number of hashed features
     orders: int = 4  #: longest n-gram, in bytes
     cost: float = 10.0  #: weight of training errors
@@ -172,8 +173,11 @@ def _vectors(bits: int, orders: int):
 
 
 def train(labelled: DataFrame, settings: Settings = Settings(), seed: int = 0) -> Model:
-    """Fit on a bounded sample of ``labelled(doc_id, lang, b)``; every language found is learned."""
-    chosen = bounded_sample(labelled.where("lang IS NOT NULL"), "lang", settings.per_language, settings.sample, seed)
+    """Fit on a bounded sample of ``labelled(doc_id, lang, b)``; every language is learned, if there are no more than ``settings.languages``."""
+    told = labelled.where("lang IS NOT NULL")
+    names = told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).select("lang")
+    told = told.join(F.broadcast(checkpointed(names)), "lang", "left_semi")
+    chosen = bounded_sample(told, "lang", settings.per_language, settings.sample, seed)
     rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
     found = rows.select("lang", "b").mapInArrow(_vectors(settings.bits, settings.orders), "lang string, at array<int>, value array<float>").toArrow()
     x = np.zeros((found.num_rows, 1 << settings.bits), np.float32)
@@ -217,7 +221,8 @@ def identify(docs: DataFrame, columns: list[str], folds: int = 4, held: int = 2,
     """``docs[columns]`` with ``held_out, lang_pred, score``, one row for each row.
 
     Learns from text and lang of the rows whose ``crc32(doc_id) mod folds`` isn't ``held`` and whose
-    lang isn't null, on a bounded sample of them (see :class:`Settings`; rows without doc_id aren't in it).  Predictions
+    lang isn't null, on a bounded sample of them (see :class:`Settings`; rows without doc_id aren't in it).  Of very many
+    values of lang the 128 most frequent are learned, ties to the first by name; the others are never predicted.  Predictions
     depend on the text alone.  A null text, or one without letters, is ``und`` with score 0; so is
     everything if no lang is known.  Equal texts get equal results; other columns pass unseen.
     """
