@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,7 @@ class Settings:
     bucket: int = 2048  #: vectors of a bucket at most
     buckets_in_task: int = 4
     queries: int = 1 << 15  #: queries sent to the tasks at a time; further ones take further passes
+    sent_bytes: int = 1 << 26  #: bytes of query vectors sent at a time
     focus: int = 3  #: coordinates that coordinate pruning looks at
     steep: float = 0.5  #: local cosine threshold from which coordinates prune better than lengths
 
@@ -27,7 +28,7 @@ class Settings:
 def _quantised(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, norms, packed = [], [], [], []
+            ids, dims, norms, packed, own = [], [], [], [], []
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if vec_id is None or not v.is_valid or v.values.null_count:
                     continue
@@ -38,10 +39,12 @@ def _quantised(scale: float):
                 ids.append(vec_id)
                 dims.append(len(q))
                 norms.append(float(np.sqrt((q * q).sum())))
-                packed.append(q.astype("<i8").tobytes())
+                whole = q.astype("<i8")
+                packed.append(whole.tobytes())
+                own.append(int(whole @ whole))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())],
-                ["vec_id", "dim", "norm", "v"],
+                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary()), pa.array(own, pa.int64())],
+                ["vec_id", "dim", "norm", "v", "own"],
             )
 
     return run
@@ -51,7 +54,7 @@ _BUCKET = "dim int, n int, longest double, ids binary, vectors binary"
 
 
 def _bucketed(size: int):
-    """Rows in order of falling length, packed into buckets; equal rows (id and vector) count once."""
+    """Rows in order of falling length, packed into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -65,11 +68,9 @@ def _bucketed(size: int):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held and (len(held) >= size or held[0][1] != row[1]):
-                    last = held[-1]
                     yield out()
-                    held = [] if last != row else [last]
-                if not held or held[-1] != row:
-                    held.append(row)
+                    held = []
+                held.append(row)
         if held:
             yield out()
 
@@ -134,7 +135,6 @@ def _searched(sent, k: int, settings: Settings):
                     known_ids, known = found[i]
                     least = max(floors[i], known[-1] if len(known) == k else floors[i])
                     rows = bucket.near(q, norms[i], least, settings)
-                    rows = rows[bucket.ids[rows] != ids[i]]
                     if not len(rows):
                         continue
                     scores = bucket.products(rows, q, norms[i] < 2**26)
@@ -163,7 +163,7 @@ def _floors(queries: list[dict], head: list, k: int) -> list[int]:
             if q["dim"] != row["dim"]:
                 continue
             v = np.frombuffer(q["v"], "<i8")
-            scores = bucket.products(np.flatnonzero(bucket.ids != q["vec_id"]), v, q["norm"] < 2**26)
+            scores = bucket.products(np.arange(len(bucket.ids)), v, q["norm"] < 2**26)
             if len(scores) >= k:
                 floors[i] = max(floors[i], int(np.partition(scores, len(scores) - k)[len(scores) - k]))
     return floors
@@ -172,31 +172,36 @@ def _floors(queries: list[dict], head: list, k: int) -> list[int]:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, settings: Settings = Settings()) -> DataFrame:
     """The ``k`` greatest integer inner products of each query: ``(query_id, rank, vec_id, score)``.
 
-    Components become ``floor(scale * x)``.  Queries are the vectors whose vec_id is divisible by ``every``;
-    candidates are all vectors with another vec_id and the same dimension.  Ties go to the smaller
+    Components become ``floor(scale * x)``.  Queries are the rows whose vec_id is divisible by ``every``;
+    candidates are all other rows of the same dimension, be it that they have the same vec_id or the same vector: a repeated
+    row is a candidate for its copies, and a query of its own with its own results.  Ties go to the smaller
     vec_id; a query with fewer candidates gets them all.  Vectors that are null or hold null or non-finite
-    components take no part, nor do rows without vec_id; repeated rows count once, and different
-    vectors under one query id are ranked each on their own.  Products beyond 64 bits aren't supported.  An
+    components take no part, nor do rows without vec_id.  Products beyond 64 bits aren't supported.  An
     empty table gives no rows; other columns are ignored.
 
     The vectors are put in order of length and packed into buckets.  A query starts with the k-th best
     product among the longest vectors, and raises that bound from bucket to bucket; in each bucket its
     local cosine threshold decides whether lengths or coordinates prune, and what remains is multiplied
-    out.  Queries are sent to the tasks ``settings.queries`` at a time.
+    out.  Queries are taken in passes of at most ``settings.queries`` and ``settings.sent_bytes``; the driver
+    and the tasks hold those of one pass only.
     """
     context = vectors.sparkSession.sparkContext
     codes = stored(
-        vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised(scale), "vec_id long, dim int, norm double, v binary")
+        vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised(scale), "vec_id long, dim int, norm double, v binary, own long")
     )
-    n = codes.count()
-    parts = max(1, -(-n // (settings.bucket * settings.buckets_in_task)))
-    order = ["dim", F.desc("norm"), "vec_id", "v"]
-    buckets = stored(codes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_bucketed(settings.bucket), _BUCKET))
+    shape = codes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("dim"), F.lit(0)).alias("dim")).first()
+    parts = max(1, -(-shape["n"] // (settings.bucket * settings.buckets_in_task)))
+    # The copy's number goes last, so that one row repeated very often is still dealt to many parts.
+    order = ["dim", F.desc("norm"), "vec_id", "v", "r"]
+    spread = codes.withColumn("r", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    buckets = stored(spread.select("vec_id", "dim", "norm", "v").mapInArrow(_bucketed(settings.bucket), _BUCKET))
     heads = []
     for row in buckets.groupBy("dim").agg(F.max("longest").alias("longest")).limit(64).collect():
         heads += buckets.where((F.col("dim") == row["dim"]) & (F.col("longest") == row["longest"])).limit(1).collect()
-    asked = checkpointed(codes.where(F.col("vec_id") % every == 0).distinct().withColumn("copy", F.xxhash64("v")))
-    groups = max(1, -(-asked.count() // settings.queries))
+    asked = codes.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim", "norm", "v", "own").agg(F.count(F.lit(1)).alias("times"))
+    asked = checkpointed(asked.withColumn("copy", F.xxhash64("v")))
+    at_a_time = max(1, min(settings.queries, settings.sent_bytes // max(1, 8 * shape["dim"])))
+    groups = max(1, -(-asked.count() // at_a_time))
     passes = []
     for g in range(groups):
         queries = asked.where(F.pmod(F.xxhash64("vec_id", "copy"), F.lit(groups)) == g).toArrow().to_pylist()
@@ -206,10 +211,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
                 np.array([q["vec_id"] for q in queries], np.int64),
                 np.array([q["copy"] for q in queries], np.int64),
                 [np.frombuffer(q["v"], "<i8") for q in queries],
-                _floors(queries, heads, k),
+                _floors(queries, heads, k + 1),
             )
         )
-        passes.append(buckets.mapInArrow(_searched(sent, k, settings), "query_id long, copy long, vec_id long, score long"))
+        # The query's own row is found too, so one more is sought.
+        found = buckets.mapInArrow(_searched(sent, k + 1, settings), "query_id long, copy long, vec_id long, score long")
+        found = found.withColumn("rank", _rank()).where(F.col("rank") <= k + 1)
+        if groups > 1:
+            found = stored(found)
+            sent.destroy()
+        passes.append(found)
     found = reduce(DataFrame.unionAll, passes)
-    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    mine = asked.select(F.col("vec_id").alias("query_id"), "copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), "own")
+    # Of a query's results the first that looks like itself is its own row.
+    itself = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("rank"))
+    group = Window.partitionBy("query_id", "copy", "time")
+    rest = found.join(mine, ["query_id", "copy"]).withColumn("at", F.min(itself).over(group)).where("at IS NULL OR rank != at")
+    rest = rest.withColumn("rank", (F.col("rank") - F.when(F.col("rank") > F.col("at"), 1).otherwise(0)).cast("int"))
+    return rest.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _rank() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
+
