@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
-from itertools import repeat
+from functools import lru_cache, reduce
+from itertools import islice, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Guarded, chunks, text_bytes
+from weftline.llm.common import Guarded, chunks, stored, text_bytes
 
 #: A-Z to lower case; digits, a-z and all bytes beyond ASCII kept; everything else parts words.
 _WORDS = bytes(
@@ -104,7 +104,7 @@ def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _FOUND = "n_words long, n_hit long, spans array<struct<a: long, b: long>>, item_ids array<string>"
 _SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-#: Search tables that a task keeps ready; further blocks are built anew for each group of texts.
+#: Blocks of items that are sent and searched in one pass over the texts; further ones take further passes.
 READY = 8
 
 
@@ -159,12 +159,47 @@ def _item_blocks(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[str |
         yield block
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of several passes made one for each text."""
+    for batch in batches:
+        spans = [_union((x["a"], x["b"]) for x in found) for found in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:2],
+                pa.array((sum(b - a for a, b in s) for s in spans), pa.int64()),
+                pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], _SPAN),
+                batch.column(3),
+            ],
+            ["key", "n_words", "n_hit", "spans", "item_ids"],
+        )
+
+
 def _searched(g: Guarded, kept: list[str], items: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    """``kept`` columns and what was found; driver and tasks hold the blocks of one pass at a time."""
     context = g.df.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in _item_blocks(items, block_bytes)]
     chosen = g.df.select(*kept, text_bytes(g["text"]).alias("_bytes"))
-    outer = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(_hits(blocks, size, kept), f"{outer}, {_FOUND}")
+    blocks = _item_blocks(items, block_bytes)
+
+    def searched(texts: DataFrame, sent: list) -> DataFrame:
+        outer = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+        return texts.mapInArrow(_hits(sent, size, texts.columns[:-1]), f"{outer}, {_FOUND}")
+
+    sent = [context.broadcast(b) for b in islice(blocks, READY)]
+    further = next(blocks, None)
+    if further is None:
+        return searched(chosen, sent)
+    keyed = stored(chosen.withColumn("_key", F.monotonically_increasing_id()))
+    parts = [stored(searched(keyed.select("_key", "_bytes"), sent))]
+    while further is not None:
+        for block in sent:
+            block.destroy()
+        sent = [context.broadcast(b) for b in (further, *islice(blocks, READY - 1))]
+        parts.append(stored(searched(keyed.select("_key", "_bytes"), sent).where("n_hit > 0")))
+        further = next(blocks, None)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
+    found = reduce(DataFrame.unionAll, parts).groupBy("_key").agg(F.max("n_words"), F.flatten(F.collect_list("spans")), ids)
+    found = found.mapInArrow(_united, f"_key long, {_FOUND}")
+    return keyed.join(found, "_key").select(*kept, "n_words", "n_hit", "spans", "item_ids")
 
 
 def search(docs: DataFrame, items: DataFrame, columns: list[str], size: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
@@ -177,8 +212,8 @@ def search(docs: DataFrame, items: DataFrame, columns: list[str], size: int = 10
     count once.  Null texts and texts without words have no words and no hits; repeated documents give
     repeated rows; an empty table of items gives no hits.
 
-    Items are searched in blocks of about ``block_bytes`` of text (the longest item at least):
-    a task holds the tables of a few blocks only, whatever the number of items.
+    Items are searched in blocks of about ``block_bytes`` of text (the longest item at least), eight in a pass
+    over the texts: a task holds the tables of one pass only, whatever the number of items, and builds each once.
     """
     g = Guarded(docs)
     found = _searched(g, [g[c] for c in columns], items, size, block_bytes)
