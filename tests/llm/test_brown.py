@@ -123,13 +123,25 @@ def slow_model(corpus, settings) -> tuple[dict, Counter, np.ndarray]:
     return of, c, steps
 
 
-@pytest.mark.parametrize("settings", [SMALL, brown.Settings(listed=5000, core=30, classes=4, rounds=3), brown.Settings(listed=40, core=40, classes=6, rounds=1)])
-def test_classes_transitions_and_scores_against_brute_force(make_docs, corpus, settings):
+def classes_of(spark, model, words) -> dict:
+    """``{word: (count, class)}`` of the words in the model's table, all of whose rows are used."""
+    names = spark.createDataFrame([(w,) for w in words], "word binary").withColumn("id", brown.word_id("word"))
+    rows = model.table.join(names, "id").collect()
+    assert len(rows) == model.table.count()
+    return {bytes(r.word): (r.c, r.k) for r in rows}
+
+
+@pytest.mark.parametrize(
+    ("settings", "often"),
+    [(SMALL, 1 << 20), (SMALL, 30), (brown.Settings(listed=5000, core=30, classes=4, rounds=3), 10), (brown.Settings(listed=40, core=40, classes=6, rounds=1), 1 << 20)],
+)
+def test_classes_transitions_and_scores_against_brute_force(spark, make_docs, corpus, settings, often, monkeypatch):
+    monkeypatch.setattr(brown, "OFTEN", often)
     of, c, steps = slow_model(corpus, settings)
     marked = make_docs(corpus).select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out"),
                                       F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     model, ready = brown.learn(marked, settings)
-    assert {bytes(r.word): (r.c, r.k) for r in model.table.collect()} == {w: (n, of[w]) for w, n in c.items()}
+    assert classes_of(spark, model, c) == {w: (n, of[w]) for w, n in c.items()}
     total = sum(c.values())
     sizes = np.zeros(settings.classes)
     for w, n in c.items():
@@ -162,14 +174,14 @@ def test_without_later_rounds_every_word_still_has_a_class(make_docs, corpus):
     assert len(rows) == len(corpus) and all(math.isfinite(r.score) for r in rows)
 
 
-def test_words_too_long_for_the_list_have_classes(make_docs):
+def test_words_too_long_for_the_list_have_classes(spark, make_docs):
     long = "x" * 1000
     docs = make_docs([(i, f"a {long} b c d {long}") for i in range(40)])
     marked = docs.select("doc_id", F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("b"))
     model, _ = brown.learn(marked, brown.Settings(classes=3))
     assert long.encode() not in model.listed
-    (row,) = [r for r in model.table.collect() if bytes(r.word) == long.encode()]
-    assert row.c == 80 and 1 <= row.k < 3
+    count, k = classes_of(spark, model, [*(w.encode() for w in ("a", "b", "c", "d", long)), brown.END])[long.encode()]
+    assert count == 80 and 1 <= k < 3
 
 
 def test_held_out_text_is_likelier_than_under_the_base(corpus, scored):

@@ -18,19 +18,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks, crc_mod, dropped, stored, text_bytes
+from weftline.llm.common import chunks, crc_mod, dropped, released, stored, text_bytes, tidied
 
 #: The end of a text.  Words hold no white space, so it is none of them.
 END = b"\n"
 #: Bytes of a listed word at most, so that the list is bounded; longer words are told by the table, as rarer ones are.
 LONGEST = 256
 #: Distinct words that a counting task holds before it passes them on, and contexts that are counted at a time.
-HELD, CONTEXTS = 400_000, 4_000_000
+HELD, CONTEXTS = 600_000, 3_000_000
+#: Counts below this are looked up when gains are computed.
+SMALL = 16
+#: Tokens from which the contexts of a word are added up before they are gathered.
+OFTEN = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    listed: int = 1 << 17  #: words sent to every task; they are the neighbours that later rounds look at
+    listed: int = 1 << 18  #: words sent to every task; they are the neighbours that later rounds look at
     core: int = 2048  #: words that are clustered first, over their full bigram counts
     classes: int = 0  #: classes, that of the text's end included (0: the cube root of the number of words, 8 to 96)
     sweeps: int = 6  #: exchange sweeps over the core at most
@@ -94,6 +98,7 @@ def _encoded(listed):
                 )
                 key += len(texts)
                 at += len(texts)
+            released()
 
     return run
 
@@ -120,7 +125,7 @@ def _joined(batch: pa.RecordBatch, ids: str = "ids") -> Iterator[tuple[slice, np
     """
     column, others = batch.column(ids), batch.column("others")
     at = 0
-    for texts in chunks((t.as_py() for t in column), 1 << 22):
+    for texts in chunks((t.as_py() for t in column), 1 << 21):
         rows = slice(at, at + len(texts))
         sizes = np.array([len(t) // 4 for t in texts])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
@@ -157,55 +162,104 @@ def _core_bigrams(core: int):
     return run
 
 
-def _contexts(sent, width: int, core: int, least: int):
-    """Counts of (word, class before, class after); ``width`` stands for a neighbour without class.
+def _packed(codes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Codes and counts in pairs, the pairs from each place ``at`` on as one binary value."""
+    flat = np.stack((codes, counts), axis=1).astype("<i4").tobytes()
+    ends = np.append(at, len(codes)) * 8
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(flat)])
 
-    Words of the list come from number ``least`` on.  For the core, either side is counted alone: that takes fewer rows.
+
+def _contexts(sent, width: int, core: int, first: int, last: int):
+    """For each word its contexts' codes (class before, class after), ``width`` for a neighbour without class, and their counts.
+
+    Words from number ``first`` to ``last`` of the list, and all others if ``last`` is None.  Of core words, either side is
+    counted alone: that takes fewer pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, names = sent.value
         of = np.append(classes, width)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, pairs = 0, (width + 1) ** 2
-
-        def out() -> pa.RecordBatch:
-            words, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((codes, words))
-            words, codes = words[order], codes[order]
-            new = np.concatenate(([True], (words[1:] != words[:-1]) | (codes[1:] != codes[:-1])))
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(words)))
-            return pa.RecordBatch.from_arrays([pa.array(words[at]), pa.array(codes[at].astype(np.int32)), pa.array(counts)], ["id", "code", "n"])
+        pairs = (width + 1) ** 2
+        held: list[np.ndarray] = []
+        size, wide = 0, 2 * (width + 1)
+        sides = np.zeros(core * wide, np.int64)  # of core words: each class before, each class after
+
+        def out(keys: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+            keys, counts = np.unique(keys, return_counts=True)
+            word, code = keys // pairs, keys % pairs
+            at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(words[word[at]]), _packed(code, counts, at)], ["id", "seen"])
 
         for batch in batches:
             for _, ids, starts, others in _joined(batch):
-                other = others.to_numpy(zero_copy_only=False).astype(np.int64)
                 now = np.where(ids >= 0, of[np.maximum(ids, -1)], width)
                 before = np.concatenate(([0], now[:-1]))
                 before[starts] = 0
                 after = np.append(now[1:], 0)
-                wanted = (ids >= least) | (ids < 0)
-                ids, before, after = ids[wanted], before[wanted], after[wanted]
-                often = (ids >= 0) & (ids < core)
-                code = before * (width + 1) + np.where(often, width, after)
-                ids, code = np.append(ids, ids[often]), np.append(code, width * (width + 1) + after[often])
-                known = ids >= 0
-                word = np.empty(len(ids), np.int64)
-                word[known] = names[ids[known]]
-                word[~known] = other[-1 - ids[~known]]
-                told = code != pairs - 1
-                held.append((word[told], code[told]))
-                size += len(held[-1][0])
+                wanted = (ids >= first) if last is None else (ids >= first) & (ids < last)
+                some, b, a = ids[wanted], before[wanted], after[wanted]
+                often = some < core
+                sides += np.bincount(some[often] * wide + b[often], minlength=len(sides)) + np.bincount(some[often] * wide + width + 1 + a[often], minlength=len(sides))
+                keys = (some * pairs + b * (width + 1) + a)[~often]
+                held.append(keys[keys % pairs != pairs - 1])
+                size += len(held[-1])
+                if last is None and len(others):
+                    rare = ids < 0
+                    words, at = np.unique(others.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+                    keys = at[-1 - ids[rare]] * pairs + before[rare] * (width + 1) + after[rare]
+                    keys = keys[keys % pairs != pairs - 1]
+                    if len(keys):
+                        yield out(keys, words)
                 if size >= CONTEXTS:
-                    yield out()
+                    yield out(np.concatenate(held), names)
                     held, size = [], 0
+            released()
         if size:
-            yield out()
+            yield out(np.concatenate(held), names)
+        at = np.flatnonzero(sides)
+        word, side = at // wide, at % wide
+        code = np.where(side <= width, side * (width + 1) + width, width * (width + 1) + side - width - 1)
+        told = code != pairs - 1
+        word, code, counts = word[told], code[told], sides[at][told]
+        if len(word):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(names[word[starts]]), _packed(code, counts, starts)], ["id", "seen"])
 
     return run
 
 
+def _seen(texts: DataFrame, sent, width: int, core: int, first: int, counts: np.ndarray) -> DataFrame:
+    """``(id, seen)``: the contexts of each word as packed pairs, in several rows.
+
+    Words of very many tokens are added up by context first; of the others, each token is one pair at most.
+    """
+    often = max(first, int((counts >= OFTEN).sum()))
+    rows = texts.mapInArrow(_contexts(sent, width, core, often, None), "id long, seen binary")
+    if often == first:
+        return rows
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [np.frombuffer(x.as_py(), "<i4").reshape(-1, 2) for x in batch.column(1)]
+            flat = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int32)
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in pairs])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int64))], ["id", "code", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            while len(code):  # counts beyond 31 bits go in several pairs
+                part = np.minimum(n, (1 << 31) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _packed(code, part, np.arange(len(code)))], ["id", "seen"])
+                n = n - part
+                keep = n > 0
+                batch, code, n = batch.filter(pa.array(keep)), code[keep], n[keep]
+
+    found = texts.mapInArrow(_contexts(sent, width, core, first, often), "id long, seen binary").mapInArrow(parts, "id long, code int, n long")
+    found = found.groupBy("id", "code").agg(F.sum("n").alias("n")).mapInArrow(packed, "id long, seen binary")
+    return rows.unionAll(found)
+
+
 def _transitions(sent, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = sent.value
@@ -313,9 +367,14 @@ def joining_gains(cells: np.ndarray, words: np.ndarray, codes: np.ndarray, count
         w, c = key // width, key % width
         totals = np.bincount(w, weights=x, minlength=n)
         g_table = _g(table)
-        for lot in range(0, len(key), 1 << 16):
-            part = slice(lot, lot + (1 << 16))
-            add = _g(table[c[part]] + x[part, None]) - g_table[c[part]]
+        # Most counts are small: what they gain is looked up.
+        small = np.stack([_g(table + n) - g_table for n in range(SMALL)])
+        for lot in range(0, len(key), 1 << 14):
+            part = slice(lot, lot + (1 << 14))
+            few = x[part] < SMALL
+            add = small[np.where(few, x[part], 0).astype(np.int64), c[part]]
+            much = np.flatnonzero(~few)
+            add[much] = _g(table[c[part][much]] + x[part][much, None]) - g_table[c[part][much]]
             mine = own[w[part]]
             at = np.flatnonzero(mine >= 0)
             have = table[c[part][at], mine[at]]
@@ -323,7 +382,9 @@ def joining_gains(cells: np.ndarray, words: np.ndarray, codes: np.ndarray, count
             first = np.flatnonzero(np.concatenate(([True], w[part][1:] != w[part][:-1])))
             gain[w[part][first]] += np.add.reduceat(add, first, axis=0)
         sizes = table.sum(0)
-        add = _g(sizes + totals[:, None]) - _g(sizes)
+        few = totals < SMALL
+        add = (_g(sizes + np.arange(SMALL)[:, None]) - _g(sizes))[np.where(few, totals, 0).astype(np.int64)]
+        add[~few] = _g(sizes + totals[~few, None]) - _g(sizes)
         at = np.flatnonzero(own >= 0)
         add[at, own[at]] = _g(sizes[own[at]]) - _g(np.maximum(sizes[own[at]] - totals[at], 0))
         gain -= add
@@ -331,18 +392,54 @@ def joining_gains(cells: np.ndarray, words: np.ndarray, codes: np.ndarray, count
     return gain
 
 
-def _moved(sent):
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of id, so that all rows of an id are together."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(ids, ids[-1]))
+        if cut or (rest and rest[-1].column(0)[0].as_py() != ids[0]):
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks()
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def _moved(sent, settled: bool, usual: int):
+    """The class of each word after a round, from its row ``(id, c, k)`` and the rows of its contexts, which follow it.
+
+    ``settled`` words with a class keep it, and END does always.  A word of which no neighbour has a class keeps its own,
+    or joins the ``usual`` one.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
-        for batch in batches:
-            seen, own = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
-            sizes = np.array([len(x) if x.is_valid else 0 for x in seen], np.int64)
-            flat = seen.flatten()
-            codes, counts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten())
-            gain = joining_gains(cells, np.repeat(np.arange(len(own)), sizes), codes, counts, own.astype(np.int64))
-            best = np.argmax(gain, axis=1)
-            stay = (own >= 0) & (gain[np.arange(len(own)), np.maximum(own, 0)] >= gain.max(1) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(stay, own, best), pa.int32())], ["id", "k"])
+        cells, end = sent.value
+        for rows in _whole(batches):
+            first = rows.column("c").is_valid().to_numpy()
+            word = np.cumsum(first) - 1
+            head = rows.filter(pa.array(first))
+            ids, own = head.column("id").to_numpy(), head.column("k").to_numpy().astype(np.int64)
+            seen = rows.filter(pa.array(~first)).column("seen").combine_chunks()
+            if len(seen):
+                ends = np.frombuffer(seen.buffers()[1], "<i4")[seen.offset : seen.offset + len(seen) + 1]
+                pairs = np.frombuffer(seen.buffers()[2], "<i4", (ends[-1] - ends[0]) // 4, ends[0]).reshape(-1, 2).astype(np.int64)
+                words = np.repeat(word[~first], np.diff(ends) // 8)
+            else:
+                pairs, words = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+            stays = (ids == end) | ((own >= 0) & settled) | (np.bincount(words, minlength=len(ids)) == 0)
+            mine, to = ~stays[words], np.cumsum(~stays) - 1
+            best = np.where(own >= 0, own, usual)
+            if (~stays).any():
+                old = own[~stays]
+                gain = joining_gains(cells, to[words[mine]], pairs[mine, 0], pairs[mine, 1], old)
+                top = np.argmax(gain, axis=1)
+                keeps = (old >= 0) & (gain[np.arange(len(old)), np.maximum(old, 0)] >= gain.max(1) - 1e-9)
+                best[~stays] = np.where(keeps, old, top)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(head.column("c").to_numpy()), pa.array(best.astype(np.int32))], ["id", "c", "k"])
+            released()
 
     return run
 
@@ -358,7 +455,7 @@ class Model:
     distinct: int  #: distinct training tokens (V)
     unseen: float  #: probability of a word that training didn't hold
     weight: float
-    table: DataFrame  #: ``(id, word, c, k)`` of all words: counts and classes
+    table: DataFrame  #: ``(id, c, k)`` of all words: counts and classes
 
 
 @dataclass(frozen=True)
@@ -389,7 +486,7 @@ def counted(texts: DataFrame, settings: Settings) -> _Start:
 
 
 def train(texts: DataFrame, start: _Start, settings: Settings = Settings()) -> tuple[DataFrame, np.ndarray, int]:
-    """The ``(id, word, c, k)`` of all words, the listed words' classes and the number of classes, from encoded ``texts``."""
+    """The ``(id, c, k)`` of all words, the listed words' classes and the number of classes, from encoded ``texts``."""
     spark = texts.sparkSession
     width = settings.classes or int(min(96, max(8, round(start.distinct ** (1 / 3)))))
     core = min(settings.core, len(start.listed))
@@ -404,29 +501,27 @@ def train(texts: DataFrame, start: _Start, settings: Settings = Settings()) -> t
     ids = start.ids
 
     seeds = spark.createDataFrame(pa.table({"id": ids[:core], "k": classes[:core].astype(np.int32)}))
-    table = start.table.join(seeds, "id", "left")
+    table = start.table.select("id", "c").join(F.broadcast(seeds), "id", "left").select("id", "c", F.coalesce("k", F.lit(-1)).alias("k"))
+    # The class of most core words, and of any word of which no neighbour has a class.
+    usual = int(1 + np.argmax(np.bincount(classes[1:core], minlength=width)[1:width])) if core > 1 else 1
     for turn in range(settings.rounds):
-        least = core if turn == 0 else 1
         sent = spark.sparkContext.broadcast((classes, ids))
-        found = texts.mapInArrow(_contexts(sent, width, core, least), "id long, code int, n long").groupBy("id", "code").agg(F.sum("n").alias("n"))
-        # Pairs of classes: a bounded number for each word.
-        found = found.groupBy("id").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
-        movers = table.select("id", "word", "c", "k").join(found, "id", "left")
-        moving = F.col("seen").isNotNull() if turn else F.col("seen").isNotNull() & F.col("k").isNull()
+        found = _seen(texts, sent, width, core, core if turn == 0 else 1, start.counts)
         if turn:
             cells = _cells(texts, classes, width)
-        fit = spark.sparkContext.broadcast(cells)
-        moves = movers.where(moving).select("id", F.coalesce("k", F.lit(-1)).alias("k"), "seen").mapInArrow(_moved(fit), "id long, k int")
-        # A word of which no neighbour has a class joins the class of most words.
-        usual = F.lit(int(1 + np.argmax(np.bincount(classes[1:core], minlength=width)[1:width])) if core > 1 else 1)
-        table = stored(
-            table.join(moves.withColumnRenamed("k", "to"), "id", "left").select("id", "word", "c", F.coalesce("to", "k", usual).cast("int").alias("k"))
-        )
+        fit = spark.sparkContext.broadcast((cells, int(ids[0])))
+        old = table
+        movers = table.select("id", "c", "k", F.lit(None).cast("binary").alias("seen")).unionByName(found, allowMissingColumns=True)
+        movers = movers.repartition("id").sortWithinPartitions("id", F.col("c").desc_nulls_last())
+        table = stored(movers.mapInArrow(_moved(fit, turn == 0, usual), "id long, c long, k int"))
+        if turn:
+            dropped(old)
         listed = table.join(F.broadcast(spark.createDataFrame(pa.table({"id": ids, "at": np.arange(len(ids))}))), "id").select("at", "k").toArrow()
         classes[listed["at"].to_numpy()] = listed["k"].to_numpy()
+        tidied(spark)
     if not settings.rounds:
-        table = table.withColumn("k", F.coalesce("k", F.lit(1)))
-    return table, np.where(classes < width, classes, 1), width
+        table = table.select("id", "c", F.when(F.col("k") < 0, usual).otherwise(F.col("k")).alias("k"))
+    return table, np.where(classes < width, classes, usual), width
 
 
 def _cells(texts: DataFrame, classes: np.ndarray, width: int) -> np.ndarray:

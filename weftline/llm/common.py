@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.plans.materialize import checkpointed, shared_folder
 
-__all__ = ["Guarded", "bounded_sample", "checkpointed", "chunks", "crc_mod", "dropped", "stored", "table", "text_bytes"]
+__all__ = ["Guarded", "bounded_sample", "checkpointed", "chunks", "crc_mod", "dropped", "released", "stored", "table", "text_bytes", "tidied"]
 
 
 class Guarded:
@@ -68,6 +71,19 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Let the driver forget the plans of finished steps, and Spark delete the shuffle files that only these used."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def released() -> None:
+    """Give memory that a task no longer uses back to the system: its process lives on for the next tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
     """Consecutive texts, gathered up to about ``most`` bytes (one text at least)."""
     group, size = [], 0
