@@ -219,6 +219,21 @@ def test_kept_documents_against_all_pairs(make_docs, monkeypatch, seed, large, s
     assert sorted(r.doc_id for r in kept) == sorted(set(near_groups(texts).values()))
 
 
+@pytest.mark.parametrize("large", [4, 64])
+def test_a_crowd_of_texts_that_are_close_but_not_similar(make_docs, monkeypatch, large):
+    """Many variants of one text, most of them below the similarity, are not compared in full, and no link is lost."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = random.Random(21)
+    base, texts = prose(rng, 60).split(), {}
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    kept = simhash.keep_first(make_docs(list(texts.items()))).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(near_groups(texts).values()))
+
+
 def test_planted_near_copies_are_dropped(make_docs):
     """Of copies with a similarity of 0.85 or more nearly all are found; copies below 0.8 all stay."""
     rng = random.Random(11)

@@ -72,8 +72,9 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def tidied(spark: SparkSession) -> None:
-    """Let the driver forget the plans of finished steps, and Spark delete the shuffle files that only these used."""
+    """Let the driver forget the plans of finished steps and give back memory, and Spark delete the shuffle files that only these used."""
     gc.collect()
+    released()
     spark._jvm.System.gc()
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import Guarded, checkpointed, stored, text_bytes
+from weftline.llm.common import Guarded, checkpointed, chunks, dropped, released, stored, text_bytes, tidied
 from weftline.llm.components import connected_components
 
 BITS = 64
@@ -27,7 +27,7 @@ CHUNK = 1 << 16
 SEGMENTS = 7
 #: The widest budget, and the segments of its ring.
 WIDEST, QUARTERS = 11, 4
-#: Members from which a class counts as large: it is then compared with others, not within itself.
+#: Close ones of a fingerprint from which it is crowded.
 LARGE = 64
 #: Rows that are sent to all tasks at most (two longs each); beyond that, tables are joined by shuffles.
 SENT = 1 << 20
@@ -58,7 +58,16 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     ones, n = np.zeros(BITS, np.int64), 0
     for hashes in shingle_hashes(text, words, seed):
         n += len(hashes)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(hashes)
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
@@ -66,10 +75,15 @@ def _signed(codes: list[int]) -> pa.Array:
     return pa.array(np.array(codes, dtype=np.uint64).view(np.int64), pa.int64())
 
 
-def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; shingles as in :func:`simhash`."""
-    found = [np.unique(h) for h in shingle_hashes(text, words, seed)]
-    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+def fingerprint(text: bytes, words: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
+    """The fingerprint as in :func:`simhash`, and the sorted distinct shingle hashes, from one pass over the shingles."""
+    ones, n, found = np.zeros(BITS, np.int64), 0, []
+    for hashes in shingle_hashes(text, words, seed):
+        n += len(hashes)
+        ones += _ones(hashes)
+        found.append(np.unique(hashes))
+    distinct = np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, "<u8")
+    return _majority(ones, n), distinct.view(np.int64)
 
 
 def _set_key(hashes: np.ndarray, seed: int) -> int:
@@ -78,12 +92,18 @@ def _set_key(hashes: np.ndarray, seed: int) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int, sets: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() for t in batch.column(2)]
-        found = [*batch.columns[:2], _signed([simhash(t, words, seed) for t in texts])]
         if sets:
-            each = [shingle_set(t, words, seed) for t in texts]
-            found += [_signed([_set_key(s, seed) for s in each]), pa.array([len(s) for s in each], pa.int64())]
-        yield pa.RecordBatch.from_arrays(found, ["doc_id", "th", "fp", "node", "n"][: len(found)])
+            codes, keys, sizes = [], [], []
+            for text in batch.column(2):
+                code, distinct = fingerprint(text.as_py(), words, seed)
+                codes.append(code)
+                keys.append(_set_key(distinct, seed))
+                sizes.append(len(distinct))
+            found = [_signed(codes), _signed(keys), pa.array(sizes, pa.int64())]
+        else:
+            found = [_signed([simhash(t.as_py(), words, seed) for t in batch.column(2)])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["doc_id", "th", "fp", "node", "n"][: 2 + len(found)])
+        released()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, sets: bool = False) -> DataFrame:
@@ -200,13 +220,15 @@ def _dealt(nodes: DataFrame, codes: list[tuple[int, int]]) -> DataFrame:
     return nodes.select("*", F.explode(table).alias("c")).select(*nodes.columns, key.alias("key"))
 
 
-def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify) -> DataFrame:
+def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify, prefixes: _Verify | None = None) -> DataFrame:
     """``(node, root)`` of the ``nodes(node, fp, n)`` that are linked with another one: within ``max_bits`` (3 to 11) and verified.
 
-    Sizes ``n`` must lie within ``percent`` of each other.  Two steps, so that a group of near copies, however large, is never
-    compared with itself in full.  First the members of each bucket with an equal segment are compared with three of them,
-    and classes are formed.  Then pairs of different classes are compared wherever a segment lies within its budget: those
-    outside of large classes with all others, and large classes with each other.
+    Sizes ``n`` must lie within ``percent`` of each other.  Two steps, so that a crowd of near fingerprints, however large, is
+    never compared with itself in full.  First the members of each bucket with an equal segment are compared with three of
+    them; those close to one that has ``LARGE`` others close to it are crowded.  Then nodes that aren't crowded are
+    compared with all, wherever a segment lies within its budget.  Crowded ones are compared with each other where they share
+    one of their ``prefixes(node, h)``, if given: two nodes that are to be linked have to share one.  Without prefixes every
+    close pair is a link, so that the members of a crowd are in one class by then, and only classes are compared.
     """
     if not QUARTERS - 1 <= max_bits <= WIDEST:
         raise ValueError(f"max_bits must be {QUARTERS - 1} to {WIDEST}")
@@ -217,35 +239,63 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify)
         least, most = (f(F.col(f"{a}.n"), F.col(f"{b}.n")) for f in (F.least, F.greatest))
         return near & (least * 100 >= most * percent) & (F.col(f"{a}.node") != F.col(f"{b}.node"))
 
-    def paired(rows: DataFrame, a: str = "a.node", b: str = "b.node") -> DataFrame:
-        return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    def paired(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+    def three(*columns: str) -> Column:
+        return F.array(*[F.min_by(F.struct(*columns), F.xxhash64("node", F.lit(k))) for k in range(3)]).alias("hubs")
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     equal = checkpointed(_dealt(nodes, [(i, 0) for i in range(QUARTERS)]))
-    three = F.array(*[F.min_by(F.struct("node", "fp", "n"), F.xxhash64("node", F.lit(k))) for k in range(3)])
-    hubs = checkpointed(equal.groupBy("key").agg(three.alias("hubs"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hubs"))
-    first = equal.join(hubs, "key").select(F.struct("node", "fp", "n").alias("a"), F.explode("hubs").alias("b")).where(fits("a", "b"))
-    edges = verify(paired(first))
+    hubs = checkpointed(equal.groupBy("key").agg(three("node", "fp", "n"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hubs"))
+    first = equal.join(hubs.hint("merge"), "key").select(F.struct("node", "fp", "n").alias("a"), F.explode("hubs").alias("b")).where(fits("a", "b"))
+    first = checkpointed(first.select("a.node", F.col("b.node").alias("hub")).distinct())
+    edges = verify(first.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct())
     roots = checkpointed(connected_components(edges))
+    tidied(nodes.sparkSession)
 
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE).select("root")
-    large = checkpointed(roots.join(sizes, "root", "left_semi"))
-    marked = stored(nodes.join(large.withColumnRenamed("root", "large"), "node", "left").select("node", "fp", "n", "large"))
+    centres = first.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE).select("hub")
+    around = first.join(checkpointed(centres).hint("merge"), "hub").select("node", "hub")
+    crowd = checkpointed(around.select("node").unionAll(around.select("hub")).distinct().withColumn("big", F.lit(True)))
+    marked = stored(nodes.join(crowd.hint("merge"), "node", "left").select("node", "fp", F.col("n").cast("int").alias("n"), F.coalesce("big", F.lit(False)).alias("big")))
     codes = _quartered(max_bits)
-    dealt = _dealt(marked, codes)
-    some, other = dealt.where("large IS NULL").alias("a"), dealt.alias("b")
-    once = F.col("b.large").isNotNull() | (F.col("a.node") < F.col("b.node"))
-    rest = paired(some.join(other, (F.col("a.key") == F.col("b.key")) & once & fits("a", "b"))).distinct()
-    if not large.isEmpty():
-        # In a bucket with several large classes, all their pairs; a bucket with one has none to compare.
-        ours = dealt.where("large IS NOT NULL")
-        mixed = ours.groupBy("key").agg(F.min("large").alias("p"), F.max("large").alias("q")).where("p != q").select("key")
-        ours = checkpointed(ours.join(checkpointed(mixed), "key", "left_semi"))
-        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.large") < F.col("b.large")) & fits("a", "b")
-        rest = rest.unionAll(paired(ours.alias("a").join(ours.alias("b"), apart)).distinct())
+    some, other = _dealt(marked.where("NOT big").drop("big"), codes).alias("a"), _dealt(marked, codes).alias("b")
+    once = F.col("b.big") | (F.col("a.node") < F.col("b.node"))
+    # By shuffle: a table that is dealt 68 times over looks small to the planner, but must not be sent whole.
+    rest = checkpointed(paired(some.join(other.hint("merge"), (F.col("a.key") == F.col("b.key")) & once & fits("a", "b"))))
+    tidied(nodes.sparkSession)
+    if not crowd.isEmpty():
+        ours = marked.where("big").drop("big")
+        if prefixes is None:
+            ours = _dealt(ours, codes).withColumnRenamed("key", "h")
+        else:
+            ours = prefixes(ours.select("node")).join(ours.hint("merge"), "node")
+        ours = stored(ours)
+
+        def mixed(roots: DataFrame) -> DataFrame:
+            """Those of the buckets whose members are of several classes."""
+            told = rooted(ours, roots)
+            keys = told.groupBy("h").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("h")
+            return checkpointed(told.join(checkpointed(keys).hint("merge"), "h", "left_semi"))
+
+        open_ = mixed(roots)
+        # Where a bucket is large, again three of each bucket first; then the pairs that are still of different classes.
+        if not open_.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE).isEmpty():
+            hubs = checkpointed(open_.groupBy("h").agg(three("node", "fp", "n", "root")))
+            near = open_.join(hubs, "h").select(F.struct("node", "fp", "n", "root").alias("a"), F.explode("hubs").alias("b"))
+            more = verify(paired(near.where(fits("a", "b") & (F.col("a.root") != F.col("b.root")))))
+            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v")
+            roots = checkpointed(connected_components(known.unionAll(more)))
+            open_ = mixed(roots)
+            tidied(nodes.sparkSession)
+        differ = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & fits("a", "b")
+        rest = rest.unionAll(paired(open_.alias("a").join(open_.alias("b"), differ)))
     known = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v")
-    open_ = checkpointed(rest).join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
-    open_ = open_.join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-    more = verify(open_.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
+    rest = rest.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")).hint("merge"), "u", "left")
+    rest = rest.join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")).hint("merge"), "v", "left")
+    more = verify(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
     if more.isEmpty():
         return roots
     return connected_components(known.unionAll(more))
@@ -254,31 +304,51 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify)
 def _sets(words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words, seed) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([_signed([_set_key(s, seed) for s in sets]), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            for texts in chunks((t.as_py() for t in batch.column(0)), 1 << 20):
+                sets = [fingerprint(t, words, seed)[1] for t in texts]
+                yield pa.RecordBatch.from_arrays([_signed([_set_key(s, seed) for s in sets]), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            released()
 
     return run
 
 
-def _by_jaccard(docs: DataFrame, marked: DataFrame, words: int, percent: int, seed: int) -> _Verify:
-    """Keeps the pairs of nodes whose sets of shingles have a Jaccard similarity of ``percent`` / 100 or more.
+class _Jaccard:
+    """Similarity of nodes by their sets of shingles, which are made anew, from one text each, for those nodes that need it."""
 
-    The sets are made anew from one text each, for the nodes of candidate pairs only.
-    """
+    def __init__(self, docs: DataFrame, marked: DataFrame, words: int, percent: int, seed: int):
+        self.docs, self.words, self.percent, self.seed = docs, words, percent, seed
+        self.texts = stored(marked.groupBy("node").agg(F.min("th").alias("_t")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.distinct())
-        wanted = checkpointed(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct())
-        texts = checkpointed(marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("_t")).select("_t"))
-        chosen = F.broadcast(texts) if texts.count() <= SENT else texts
-        found = docs.select("text", F.xxhash64("text").alias("_t")).join(chosen, "_t", "left_semi")
-        sets = found.dropDuplicates(["_t"]).select(text_bytes().alias("b")).mapInArrow(_sets(words, seed), "node long, hashes array<long>")
-        sets = stored(sets)
-        left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-        similar = F.size(F.array_intersect("a", "b")) * (100 + percent) >= (F.size("a") + F.size("b")) * percent
-        return checkpointed(pairs.join(left, "u").join(right, "v").where(similar).select("u", "v"))
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``(node, hashes)`` of the distinct ``nodes(node)``."""
+        wanted = checkpointed(self.texts.join(nodes.hint("merge"), "node", "left_semi").select("_t"))
+        chosen = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+        found = self.docs.select("text", F.xxhash64("text").alias("_t")).join(chosen, "_t", "left_semi").dropDuplicates(["_t"])
+        return stored(found.select(text_bytes().alias("b")).mapInArrow(_sets(self.words, self.seed), "node long, hashes array<long>"))
 
-    return verify
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``(u, v)`` whose similarity is ``percent`` / 100 or more."""
+        pairs = checkpointed(pairs.distinct())
+        sets = self.sets(checkpointed(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()))
+        left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(y)).hint("merge") for x, y in (("u", "a"), ("v", "b")))
+        similar = F.size(F.array_intersect("a", "b")) * (100 + self.percent) >= (F.size("a") + F.size("b")) * self.percent
+        found = checkpointed(pairs.join(left, "u").join(right, "v").where(similar).select("u", "v"))
+        dropped(sets)
+        tidied(pairs.sparkSession)
+        return found
+
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """``(node, h)``: of each set the shingles that are the rarest in these sets, so many that two similar sets share one."""
+        sets = self.sets(nodes)
+        each = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+        counts = checkpointed(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")))
+        # By shuffle: the planner takes the sets, before they are exploded, for small.
+        ordered = each.join(counts.hint("merge"), "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("all"))
+        size = F.expr(f"n - cast(ceil({self.percent} * n / 100) as int) + 1")
+        found = stored(ordered.select("node", F.explode(F.slice("all", F.lit(1), size)).alias("one")).select("node", "one.h"))
+        dropped(sets)
+        tidied(nodes.sparkSession)
+        return found
 
 
 def _rooted(marked: DataFrame, max_bits: int, crowd: int) -> DataFrame:
@@ -319,10 +389,12 @@ def keep_first(docs: DataFrame, max_bits: int = WIDEST, words: int = 5, percent:
     find most such pairs, not all: the closer two texts, the surer.  Texts without words are copies of each other.  All
     columns are kept.  Of repeated rows with one id and text, one stays; an empty table gives an empty one.
     """
+    tidied(docs.sparkSession)
     marked = stored(fingerprints(docs, words, seed, sets=True))
     nodes = stored(marked.where("n > 0").select("node", "fp", "n").distinct())
-    roots = wide_classes(nodes, max_bits, percent, _by_jaccard(docs, marked, words, percent, seed))
-    placed = marked.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    similar = _Jaccard(docs, marked, words, percent, seed)
+    roots = wide_classes(nodes, max_bits, percent, similar.verify, similar.prefixes)
+    placed = marked.select("node").distinct().join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return _first_rows(docs, marked.select("doc_id", "th", "node"), checkpointed(placed))
 
 
@@ -331,7 +403,7 @@ def _first_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     # Per node before the join with the classes, so that hot nodes are one row each.
     by_node = checkpointed(marked.groupBy("node").agg(first.alias("one")))
-    by_root = by_node.join(roots, "node").groupBy("root").agg(F.min("one").alias("one"))
+    by_root = by_node.join(roots.hint("merge"), "node").groupBy("root").agg(F.min("one").alias("one"))
     kept = checkpointed(by_root.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th")))
     again = marked.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = kept.join(again, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("_id", "_th")
