@@ -29,6 +29,8 @@ SEGMENTS = 7
 WIDEST, QUARTERS = 11, 4
 #: Close ones of a fingerprint from which it is crowded.
 LARGE = 64
+#: Classes of shingles whose frequencies order the prefixes, and longs of a sketch.
+FREQUENCIES, SKETCH = 1 << 16, 8
 #: Rows that are sent to all tasks at most (two longs each); beyond that, tables are joined by shuffles.
 SENT = 1 << 20
 
@@ -227,7 +229,8 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
     never compared with itself in full.  First the members of each bucket with an equal segment are compared with three of
     them; those close to one that has ``LARGE`` others close to it are crowded.  Then nodes that aren't crowded are
     compared with all, wherever a segment lies within its budget.  Crowded ones are compared with each other where they share
-    one of their ``prefixes(node, h)``, if given: two nodes that are to be linked have to share one.  Without prefixes every
+    one of their ``prefixes`` (see :meth:`_Jaccard.prefixes`), if given: two nodes that are to be linked have to share one, and
+    pairs whose positions or sketches rule the similarity out are not made.  Without prefixes every
     close pair is a link, so that the members of a crowd are in one class by then, and only classes are compared.
     """
     if not QUARTERS - 1 <= max_bits <= WIDEST:
@@ -236,14 +239,16 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
     def fits(a: str, b: str) -> Column:
         x = F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))
         near = F.bit_count(x) <= max_bits
-        least, most = (f(F.col(f"{a}.n"), F.col(f"{b}.n")) for f in (F.least, F.greatest))
+        least, most = (f(F.col(f"{a}.n"), F.col(f"{b}.n")).cast("long") for f in (F.least, F.greatest))
         return near & (least * 100 >= most * percent) & (F.col(f"{a}.node") != F.col(f"{b}.node"))
 
     def paired(rows: DataFrame) -> DataFrame:
         return rows.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
-    def three(*columns: str) -> Column:
-        return F.array(*[F.min_by(F.struct(*columns), F.xxhash64("node", F.lit(k))) for k in range(3)]).alias("hubs")
+    def three(*columns: str, first: tuple[str, ...] = (), by: tuple[str, ...] = ("node",)) -> Column:
+        """Three members of each group: the least in ``first``, then drawn by a hash."""
+        order = lambda k: F.struct(*first, F.xxhash64(*by, F.lit(k)))
+        return F.array(*[F.min_by(F.struct(*columns), order(k)) for k in range(3)]).alias("hubs")
 
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -270,8 +275,13 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
         ours = marked.where("big").drop("big")
         if prefixes is None:
             ours = _dealt(ours, codes).withColumnRenamed("key", "h")
+            columns, hubs_of, alike = ("node", "fp", "n"), three("node", "fp", "n", "root"), fits
         else:
             ours = prefixes(ours.select("node")).join(ours.hint("merge"), "node")
+            columns = ("node", "fp", "n", *_SKETCH)
+            # Those whose shared shingle comes first have the fewest of their own: the heart of a crowd.
+            hubs_of = three(*columns, "root", first=("at",), by=("node", "h"))
+            alike = lambda a, b: fits(a, b) & _sketched(a, b, percent)
         ours = stored(ours)
 
         def mixed(roots: DataFrame) -> DataFrame:
@@ -283,15 +293,22 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
         open_ = mixed(roots)
         # Where a bucket is large, again three of each bucket first; then the pairs that are still of different classes.
         if not open_.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE).isEmpty():
-            hubs = checkpointed(open_.groupBy("h").agg(three("node", "fp", "n", "root")))
-            near = open_.join(hubs, "h").select(F.struct("node", "fp", "n", "root").alias("a"), F.explode("hubs").alias("b"))
-            more = verify(paired(near.where(fits("a", "b") & (F.col("a.root") != F.col("b.root")))))
+            hubs = checkpointed(open_.groupBy("h").agg(hubs_of))
+            near = open_.join(hubs, "h").select(F.struct(*columns, "root").alias("a"), F.explode("hubs").alias("b"))
+            more = verify(paired(near.where(alike("a", "b") & (F.col("a.root") != F.col("b.root")))))
             known = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v")
             roots = checkpointed(connected_components(known.unionAll(more)))
             open_ = mixed(roots)
             tidied(nodes.sparkSession)
-        differ = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & fits("a", "b")
-        rest = rest.unionAll(paired(open_.alias("a").join(open_.alias("b"), differ)))
+        differ = (F.col("a.h") == F.col("b.h")) & alike("a", "b")
+        if prefixes is None:
+            small, differ = open_, differ & (F.col("a.root") < F.col("b.root"))
+        else:
+            # The smaller of two similar sets holds their first common shingle early; which of two is told by size, then by node.
+            small = open_.where(F.expr(f"at <= n - cast(ceil({2 * percent}L * n / {100 + percent}) as int)"))
+            ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+            differ = differ & ordered & (F.col("a.root") != F.col("b.root")) & _placed("a", "b", percent)
+        rest = rest.unionAll(paired(small.alias("a").join(open_.alias("b"), differ)))
     known = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v")
     rest = rest.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")).hint("merge"), "u", "left")
     rest = rest.join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")).hint("merge"), "v", "left")
@@ -301,6 +318,47 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
     return connected_components(known.unionAll(more))
 
 
+#: The columns of a sketch: bit i of the whole tells whether the set holds an odd number of the hashes of class i.
+_SKETCH = tuple(f"odd{i}" for i in range(SKETCH))
+
+
+def _sketched(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar by their sketches: each bit that differs takes a hash that one set alone holds."""
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _SKETCH), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")) * (100 - percent)
+
+
+def _placed(a: str, b: str, percent: int) -> Column:
+    """Whether enough of both sets is left from the shared hash on, if it is the first that they share."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")).cast("long")
+    return left * (100 + percent) >= (F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")) * percent
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The sketch of a set of hashes, as ``SKETCH`` signed longs."""
+    # Bits that neither the order of prefixes nor its classes use.
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _prefixes(frequency: np.ndarray, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, sketches = [], []
+            for row in batch.column(1):
+                hashes = row.values.to_numpy()
+                n = len(hashes)
+                order = np.lexsort((hashes, frequency[hashes & (FREQUENCIES - 1)]))
+                firsts.append(hashes[order[: n + (-percent * n) // 100 + 1]])
+                sketches.append(sketch(hashes))
+            bits = np.array(sketches, np.int64).reshape(-1, SKETCH)
+            found = [batch.column(0), pa.array(firsts, pa.list_(pa.int64())), *[pa.array(bits[:, i].copy()) for i in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays(found, ["node", "hs", *_SKETCH])
+            released()
+
+    return run
+
+
 def _sets(words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,14 +396,19 @@ class _Jaccard:
         return found
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """``(node, h)``: of each set the shingles that are the rarest in these sets, so many that two similar sets share one."""
+        """``(node, at, h, odd0, ...)``: of each set its sketch and the first hashes, so many that two similar sets share one.
+
+        All sets are in one order, by how frequent a hash's class is, then by the hash; the frequencies of ``FREQUENCIES``
+        classes are all that is sent to the tasks.  ``at`` is the place in that order, from 0.
+        """
         sets = self.sets(nodes)
-        each = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-        counts = checkpointed(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")))
-        # By shuffle: the planner takes the sets, before they are exploded, for small.
-        ordered = each.join(counts.hint("merge"), "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("all"))
-        size = F.expr(f"n - cast(ceil({self.percent} * n / 100) as int) + 1")
-        found = stored(ordered.select("node", F.explode(F.slice("all", F.lit(1), size)).alias("one")).select("node", "one.h"))
+        h = F.explode("hashes").alias("h")
+        counts = sets.select(h).groupBy(F.col("h").bitwiseAND(F.lit(FREQUENCIES - 1)).alias("c")).agg(F.count(F.lit(1)).alias("m")).toArrow()
+        frequency = np.zeros(FREQUENCIES, np.int64)
+        frequency[counts["c"].to_numpy()] = counts["m"].to_numpy()
+        schema = "node long, hs array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+        first = sets.select("node", "hashes").mapInArrow(_prefixes(frequency, self.percent), schema)
+        found = stored(first.select("node", F.posexplode("hs").alias("at", "h"), *_SKETCH))
         dropped(sets)
         tidied(nodes.sparkSession)
         return found
