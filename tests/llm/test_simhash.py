@@ -3,6 +3,8 @@ from __future__ import annotations
 import inspect
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -149,6 +151,38 @@ def test_wide_classes_against_all_pairs(spark, monkeypatch, bits, large):
     assert {c: found.get(c, c) for c in codes} == classes(codes, bits)
 
 
+@pytest.mark.parametrize("bits", [3, 5, 7, 11])
+def test_a_pair_is_met_under_one_key(spark, bits):
+    """Every pair within the budget is made once, however many segment keys it shares."""
+    rng = random.Random(bits)
+    codes = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, bits))) for c in [rng.getrandbits(64) for _ in range(6)] for _ in range(12)})
+    rows = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
+    dealt = simhash._dealt(spark.createDataFrame(rows, "fp long"), simhash._quartered(bits))
+    near = "a.key = b.key AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= " + str(bits)
+    met = dealt.alias("a").join(dealt.alias("b"), F.expr(near) & simhash._met_once(bits)).select("a.fp", "b.fp").collect()
+    want = {(a, b) for (a,) in rows for (b,) in rows if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits}
+    assert want and len(met) == len(want) and {tuple(r) for r in met} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sketches_and_positions_keep_similar_sets(seed):
+    """The bits that differ never exceed the difference of two sets, and similar sets share an early hash of their prefixes."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 400)
+    frequency = np.bincount(base & (simhash.FREQUENCIES - 1), minlength=simhash.FREQUENCIES)
+    for change in (0, 1, 20, 44, 90, 300):
+        other = np.unique(np.concatenate([base[change:], rng.integers(-(1 << 63), (1 << 63) - 1, change)]))
+        sets = [np.unique(base), other]
+        apart = len(np.setxor1d(*sets))
+        bits = np.bitwise_count(simhash.sketch(sets[0]).view(np.uint64) ^ simhash.sketch(sets[1]).view(np.uint64)).sum()
+        assert bits <= apart and (apart == 0 or bits > 0)
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+        (out,) = simhash._prefixes(frequency, 80)([batch])
+        first, second = (set(h) for h in out.column(1).to_pylist())
+        if len(np.intersect1d(*sets)) >= 0.8 * len(np.union1d(*sets)):
+            assert first & second
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 400)]
     star = [(5000, 1000 + i) for i in range(300)] + [(1000, 1000), (7, 7)]

@@ -222,6 +222,17 @@ def _dealt(nodes: DataFrame, codes: list[tuple[int, int]]) -> DataFrame:
     return nodes.select("*", F.explode(table).alias("c")).select(*nodes.columns, key.alias("key"))
 
 
+def _met_once(max_bits: int) -> Column:
+    """Of the keys that ``a`` and ``b`` share, true for one: the first segment that is near enough, changed on ``b`` before ``a``."""
+    i = "cast(shiftright(a.key, 16) AS int)"
+    change = [f"((shiftrightunsigned({s}.fp, 16 * {i}) & 65535L) ^ (a.key & 65535L))" for s in ("a", "b")]
+    found = f"({change[0]} < {change[1]} OR ({change[0]} = 0 AND {change[1]} = 0))"
+    reach = [2 if any(j == k and x for k, x in _quartered(max_bits)) else 0 for j in range(QUARTERS)]
+    for j in range(QUARTERS - 1):
+        found += f" AND ({i} <= {j} OR bit_count(shiftrightunsigned(a.fp ^ b.fp, {16 * j}) & 65535L) > {reach[j]})"
+    return F.expr(found)
+
+
 def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify, prefixes: _Verify | None = None) -> DataFrame:
     """``(node, root)`` of the ``nodes(node, fp, n)`` that are linked with another one: within ``max_bits`` (3 to 11) and verified.
 
@@ -269,7 +280,7 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
     some, other = _dealt(marked.where("NOT big").drop("big"), codes).alias("a"), _dealt(marked, codes).alias("b")
     once = F.col("b.big") | (F.col("a.node") < F.col("b.node"))
     # By shuffle: a table that is dealt 68 times over looks small to the planner, but must not be sent whole.
-    rest = checkpointed(paired(some.join(other.hint("merge"), (F.col("a.key") == F.col("b.key")) & once & fits("a", "b"))))
+    rest = checkpointed(paired(some.join(other.hint("merge"), (F.col("a.key") == F.col("b.key")) & once & fits("a", "b") & _met_once(max_bits))))
     tidied(nodes.sparkSession)
     if not crowd.isEmpty():
         ours = marked.where("big").drop("big")
