@@ -42,10 +42,15 @@ def test_every_query_has_its_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 
 
-def test_entry_works_without_the_training_data_operators(tmp_path):
-    """The folders removed, the entry imports and lists the other queries."""
+@pytest.mark.parametrize("pipeline_file", [False, True])
+def test_entry_works_without_the_training_data_operators(tmp_path, pipeline_file):
+    """The folders removed, the entry imports and lists the other queries, whether or not the pipeline's file is still there."""
     shutil.copytree(f"{ROOT}/weftline", tmp_path / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    if pipeline_file:
+        if not os.path.exists(f"{ROOT}/corpus_pipeline.py"):
+            pytest.skip("no pipeline")
+        shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n[:3] in ('op1', 'op2', 'op3') or n == 'pipeline' for n in q), set(e.oracle_sql()) <= set(q))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120, check=True).stdout.split()
