@@ -88,3 +88,10 @@ def test_counts_of_lesser_values(spark):
     assert {tuple(r) for r in inequality.count_less(a, "a", b, "b").collect()} == want
     assert [r.n for r in inequality.count_less(a.where("false"), "a", b, "b").collect()] == [0] * 80
     assert inequality.count_less(a, "a", b.where("false"), "b").count() == 0
+
+
+def test_inequality_counts_are_exact_beyond_doubles(spark):
+    left = spark.createDataFrame([(1 << 53,), ((1 << 53) + 1,), (None,)], "a long")
+    right = spark.createDataFrame([(1 << 53,), ((1 << 53) + 1,), ((1 << 53) + 2,), (None,)], "b long")
+    got = {r.b: r.n for r in inequality.count_less(left, "a", right, "b").collect()}
+    assert got == {1 << 53: 0, (1 << 53) + 1: 1, (1 << 53) + 2: 2, None: 0}

@@ -135,7 +135,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return graph(spark, folder).message_passing("state * 2", "sum(new_state)", "state + new_state", "CAST(nation AS BIGINT)", rounds=2)
 
 
-# -- counting subgraphs: each letter pair is a copy of the edges
+# -- counting subgraphs: each letter pair is a copy of the edges; the shapes are fixed values, given by the acceptance queries
 
 SHAPES = {
     "S1": "ab bc ca", "S2": "ab bc ca cd", "S3": "ab bc cd da bd", "S4": "ab bc cd da ac bd", "S5": "ab bc cd de ae be",
