@@ -4,6 +4,8 @@ import os
 import shutil
 import subprocess
 import sys
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -38,6 +40,26 @@ def test_query_against_sql(spark, duck, name):
     assert sorted([norm(r[c]) for c in sorted(names)] for r in df.collect()) == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_pagerank_rounds_exact_weights(spark):
+    """Weights at half a millionth, of which there are eight, go up whatever the order of the sums."""
+    from weftline.queries import graphs
+
+    pairs = [tuple(r) for r in graphs.edges(spark, "/root/testdata/sf0.01").collect()]
+    degree = Counter(dst for _, dst in pairs)
+    weights = dict.fromkeys(degree, Fraction(1))
+    for _ in range(graphs.PAGERANK_ROUNDS):
+        sums = defaultdict(Fraction)
+        for src, dst in pairs:
+            if dst in weights:
+                sums[src] += weights[dst] / degree[dst]
+        weights = {k: Fraction(85, 100) * s + Fraction(15, 100) for k, s in sums.items()}
+    millionths = {k: w * 10**6 for k, w in weights.items()}
+    assert sum(m % 1 == Fraction(1, 2) for m in millionths.values()) == 8
+    got = {r.dst: r.weight for r in catalogue.QUERIES["analytic_I1_pagerank"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {k: int(m + Fraction(1, 2)) / 10**6 for k, m in millionths.items()}
+
+
 def test_every_query_has_its_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 
