@@ -165,3 +165,25 @@ def test_each_language_keeps_its_shortest_and_all_that_fit(spark):
     assert len(taken["big"]) == 12 and taken["small"] == list(range(100, 107)) and taken["huge"] == list(range(200, 205))
     assert quality.within_bytes(frame, 10**6).count() == len(rows)
     assert quality.within_bytes(frame.limit(0), 100).count() == 0
+
+
+def test_all_trusted_texts_train(spark, make_docs):
+    """More texts than any sample held, in many shards and slices; a repeated row counts once."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(3, 12)), "en") for i in range(4000)]
+    slow = SlowModel([t for i, t, _ in rows if trains(i)])
+    labels = spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id long, quality int")
+    got = quality.judge(make_docs(rows + rows[:50]), labels, quality.Settings(shard_rows=2000)).collect()
+    assert len(got) == 4050
+    texts = {i: t for i, t, _ in rows}
+    for r in got[::9]:
+        assert r.perplexity == pytest.approx(slow.perplexity(texts[r.doc_id]), rel=1e-4)
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 30_000])
+def test_quantiles_are_exact(spark, n):
+    rng = random.Random(14)
+    for draw in (rng.random, lambda: float(rng.randint(1, 3))):
+        values = [draw() for _ in range(n)]
+        rows = quality.quantiles(spark.createDataFrame([("a", x) for x in values], "lang string, perplexity double"), 0.99).collect()
+        assert [(r.lang, r.n, r.threshold) for r in rows] == [("a", n, sorted(values)[math.ceil(0.99 * n) - 1])]
