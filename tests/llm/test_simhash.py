@@ -298,3 +298,15 @@ def test_a_large_group_is_linked_without_all_pairs(spark, make_docs):
     for i in sorted(codes):
         least.setdefault(reach[codes[i]], i)
     assert got == {i: least[reach[codes[i]]] for i in codes}
+
+
+def test_prefixes_take_one_row_a_node_until_they_are_keys(spark, make_docs):
+    """Joins by node are made before the prefixes' hashes are dealt: a crowd of long texts makes no more rows there than texts."""
+    rng = random.Random(21)
+    base = prose(rng, 300).split()
+    docs = make_docs([(i, " ".join([*base[:-1], f"end{i}"])) for i in range(40)])
+    marked = simhash.stored(simhash.fingerprints(docs, 5, 42, sets=True))
+    rows = simhash._Jaccard(docs, marked, 5, 80, 42).prefixes(marked.select("node").distinct()).collect()
+    sizes = {r.node: r.n for r in marked.collect()}
+    assert len(rows) == len(sizes) == 40
+    assert all(len(r.hs) == sizes[r.node] - -(-80 * sizes[r.node] // 100) + 1 for r in rows)

@@ -264,6 +264,12 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    def keyed(rows: DataFrame) -> DataFrame:
+        """The rows of nodes once for each of their keys ``h``: made only after joins by node, which take one row a node."""
+        if prefixes is None:
+            return _dealt(rows, codes).withColumnRenamed("key", "h")
+        return rows.select("*", F.posexplode("hs").alias("at", "h")).drop("hs")
+
     equal = checkpointed(_dealt(nodes, [(i, 0) for i in range(QUARTERS)]))
     hubs = checkpointed(equal.groupBy("key").agg(three("node", "fp", "n"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hubs"))
     first = equal.join(hubs.hint("merge"), "key").select(F.struct("node", "fp", "n").alias("a"), F.explode("hubs").alias("b")).where(fits("a", "b"))
@@ -285,7 +291,6 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
     if not crowd.isEmpty():
         ours = marked.where("big").drop("big")
         if prefixes is None:
-            ours = _dealt(ours, codes).withColumnRenamed("key", "h")
             columns, hubs_of, alike = ("node", "fp", "n"), three("node", "fp", "n", "root"), fits
         else:
             ours = prefixes(ours.select("node")).join(ours.hint("merge"), "node")
@@ -297,7 +302,7 @@ def wide_classes(nodes: DataFrame, max_bits: int, percent: int, verify: _Verify,
 
         def mixed(roots: DataFrame) -> DataFrame:
             """Those of the buckets whose members are of several classes."""
-            told = rooted(ours, roots)
+            told = keyed(rooted(ours, roots))
             keys = told.groupBy("h").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("h")
             return checkpointed(told.join(checkpointed(keys).hint("merge"), "h", "left_semi"))
 
@@ -407,10 +412,10 @@ class _Jaccard:
         return found
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """``(node, at, h, odd0, ...)``: of each set its sketch and the first hashes, so many that two similar sets share one.
+        """``(node, hs, odd0, ...)``: of each set its sketch and the first hashes, so many that two similar sets share one.
 
         All sets are in one order, by how frequent a hash's class is, then by the hash; the frequencies of ``FREQUENCIES``
-        classes are all that is sent to the tasks.  ``at`` is the place in that order, from 0.
+        classes are all that is sent to the tasks.  ``hs`` is in that order.
         """
         sets = self.sets(nodes)
         h = F.explode("hashes").alias("h")
@@ -419,7 +424,7 @@ class _Jaccard:
         frequency[counts["c"].to_numpy()] = counts["m"].to_numpy()
         schema = "node long, hs array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
         first = sets.select("node", "hashes").mapInArrow(_prefixes(frequency, self.percent), schema)
-        found = stored(first.select("node", F.posexplode("hs").alias("at", "h"), *_SKETCH))
+        found = stored(first)
         dropped(sets)
         tidied(nodes.sparkSession)
         return found
