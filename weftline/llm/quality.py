@@ -42,7 +42,7 @@ class Settings:
     folds: int = 2  #: trusted documents with ``crc32(doc_id) mod folds`` 0 are held out for the thresholds
     sample_bytes: int | None = None  #: bytes of training text in all, whole documents, likewise (see :func:`within_bytes`)
     shard_rows: int = 1 << 18  #: tokens of training text whose grams make up a shard, about
-    slices: int = 6  #: parts in which the texts are scored, if there are as many shards
+    slices: int = 8  #: parts in which the texts are scored, if there are as many shards
     quantile: float = 0.99  #: of the perplexities of trusted documents held out from training
     enough: int = 20  #: held-out documents that a language needs for a threshold of its own
 
@@ -356,7 +356,7 @@ def _numbered(sent, kept: pa.Schema, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rare, unigrams = sent.value
         key = (TaskContext.get().partitionId() + 1) << 40
-        names = ["shard", "kind", "key", *kept.names, "n_tokens", "log_p", *"abcde"]
+        names = ["shard", "kind", "chunk", "key", *kept.names, "n_tokens", "log_p", *"abcde"]
         for batch in batches:
             at = 0
             for texts in chunks((t.as_py() for t in batch.column(len(kept)))):
@@ -370,7 +370,7 @@ def _numbered(sent, kept: pa.Schema, shards: int):
                 keys = np.arange(key, key + n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((keys % shards).astype(np.int32)), pa.array(np.full(n, 2, np.int32)), pa.array(keys), *(batch.column(i).slice(at, n) for i in range(len(kept))),
+                        pa.array((keys % shards).astype(np.int32)), pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, key)), pa.array(keys), *(batch.column(i).slice(at, n) for i in range(len(kept))),
                         pa.array(lengths - 3), pa.array(np.add.reduceat(logs, starts)), *[pa.nulls(n, pa.binary())] * 5,
                     ],
                     names,
@@ -381,7 +381,7 @@ def _numbered(sent, kept: pa.Schema, shards: int):
                 vw, doc = pairs[at_pairs], np.repeat(np.arange(n, dtype="<i4"), lengths - 1)
                 found = _blocks(shard_of(vw, shards), {"a": vw, "b": before, "c": doc})
                 m = found.num_rows
-                none = [pa.nulls(m, f.type) for f in (*kept, pa.field("n", pa.int64()), pa.field("p", pa.float64()))]
+                none = [pa.nulls(m, f.type) for f in (pa.field("key", pa.int64()), *kept, pa.field("n", pa.int64()), pa.field("p", pa.float64()))]
                 columns = [found.column(0), pa.array(np.ones(m, np.int32)), pa.array(np.full(m, key)), *none, *found.columns[1:], *[pa.nulls(m, pa.binary())] * 2]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 key += n
@@ -396,27 +396,31 @@ class _Shard:
 
     def __init__(self, pairs: np.ndarray, both: np.ndarray, n: np.ndarray, before: np.ndarray, gains: np.ndarray):
         self.pairs, self.both = pairs, both
-        self.trigrams = Table((np.repeat(np.arange(len(pairs)), n) << WORD) | before, gains.reshape(-1, 1))
+        self.trigrams, self.gains = np.append((np.repeat(np.arange(len(pairs)), n) << WORD) | before, -1), np.append(gains, 0)
 
     def terms(self, vw: np.ndarray, u: np.ndarray) -> np.ndarray:
         """What each pair, and the trigram of ``u`` and the pair, add."""
         at = np.minimum(np.searchsorted(self.pairs, vw), len(self.pairs) - 1)
         there = np.flatnonzero(self.pairs[at] == vw)
+        at = at[there]
+        keys = (at << WORD) | u[there]
+        own = np.searchsorted(self.trigrams[:-1], keys)
         out = np.zeros(len(vw))
-        out[there] = self.both[at[there]] + self.trigrams.find((at[there] << WORD) | u[there])[1][:, 0].astype(float)
+        out[there] = self.both[at].astype(float) + np.where(self.trigrams[own] == keys, self.gains[own], 0.0)
         return out
 
 
 def _looked_up(kept: pa.Schema):
-    """The rows of texts as they are, and for each text of a block the sum of its terms in the shard, which comes first."""
+    """The rows of texts as they are, and for each block the sums of its texts' terms in the shard, which comes first."""
     kinds = ("<i8", "<f4", "<i4", "<i4", "<f4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", *kept.names, "n_tokens", "log_p"]
+        names = ["chunk", "key", *kept.names, "n_tokens", "log_p", "docs", "sums"]
         shard, held = None, None
         for batch in batches:
             kind = batch.column("kind").to_numpy()
-            yield batch.select(names).filter(pa.array(kind == 2))
+            texts = batch.select(names[:-2]).filter(pa.array(kind == 2))
+            yield pa.RecordBatch.from_arrays([*texts.columns, *[pa.nulls(texts.num_rows, pa.binary())] * 2], names)
             for i in np.flatnonzero(kind < 2).tolist():
                 mine = batch.column("shard")[i].as_py()
                 a, b, c, *rest = (_unpack(batch.column(x)[i].as_buffer(), k) for x, k in zip("abcde"[: 5 if kind[i] == 0 else 3], (kinds if kind[i] == 0 else ("<i8", "<i4", "<i4")), strict=True))
@@ -424,14 +428,43 @@ def _looked_up(kept: pa.Schema):
                     shard, held = mine, _Shard(a, b, c, *rest)
                 elif mine == shard:
                     first = _firsts(c)
-                    keys = batch.column("key")[i].as_py() + c[first].astype(np.int64)
-                    none = [pa.nulls(len(first), f.type) for f in (*kept, pa.field("n", pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *none, pa.array(np.add.reduceat(held.terms(a, b), first))], names)
+                    none = [pa.nulls(1, f.type) for f in (pa.field("key", pa.int64()), *kept, pa.field("n", pa.int64()), pa.field("p", pa.float64()))]
+                    packed = [pa.array([_pack(x)], pa.binary()) for x in (c[first], np.add.reduceat(held.terms(a, b), first))]
+                    yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), *none, *packed], names)
         released()
 
     return run
 
 
+def _added(kept: pa.Schema):
+    """The texts of each chunk with the sums that come before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*kept.names, "n_tokens", "log_p"]
+        chunk, total = None, np.zeros(0)
+        for batch in batches:
+            of = batch.column("chunk").to_numpy()
+            first = _firsts(of).tolist()
+            for a, b in zip(first, [*first[1:], len(of)], strict=True):
+                if of[a] != chunk:
+                    chunk, total = of[a], np.zeros(0)
+                rows = batch.slice(a, b - a)
+                sums = rows.num_rows - rows.column("docs").null_count
+                if sums:
+                    docs, own = (np.concatenate([_unpack(x.as_buffer(), k) for x in rows.column(c).slice(0, sums)]) for c, k in (("docs", "<i4"), ("sums", "<f8")))
+                    more = np.bincount(docs, weights=own, minlength=len(total))
+                    more[: len(total)] += total
+                    total = more
+                if sums < rows.num_rows:
+                    texts = rows.slice(sums)
+                    at = texts.column("key").to_numpy() - chunk
+                    # Every text has a sum, were it 0, unless the model has no shard for it.
+                    log_p = texts.column("log_p").to_numpy() + np.append(total, 0.0)[np.minimum(at, len(total))]
+                    yield pa.RecordBatch.from_arrays([*texts.select(names[:-1]).columns, pa.array(log_p)], names)
+
+    return run
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each key; the same as :func:`_shard` for columns."""
     return (keys ^ (keys >> BITS) ^ (keys >> 2 * BITS)) % shards
@@ -460,11 +493,11 @@ def log_probabilities(texts: DataFrame, model: Model, kept: list[str], settings:
     slices, found = min(settings.slices, model.shards), []
     for k in range(slices):
         part = texts.where(F.pmod(F.xxhash64(kept[0]), F.lit(slices)) == k) if slices > 1 else texts
-        blocks = part.select(*kept, "b").mapInArrow(_numbered(sent, inner, model.shards), f"shard int, kind int, key long, {text}n_tokens long, log_p double, {binary}")
+        blocks = part.select(*kept, "b").mapInArrow(_numbered(sent, inner, model.shards), f"shard int, kind int, chunk long, key long, {text}n_tokens long, log_p double, {binary}")
         blocks = blocks.unionByName(model.terms.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-        rows = _gathered(blocks, model.shards, "kind").mapInArrow(_looked_up(inner), f"key long, {text}n_tokens long, log_p double")
-        one = [F.max(c).alias(c) for c in (*kept, "n_tokens")]
-        found.append(stored(rows.groupBy("key").agg(*one, F.sum("log_p").alias("log_p")).drop("key")))
+        rows = _gathered(blocks, model.shards, "kind").mapInArrow(_looked_up(inner), f"chunk long, key long, {text}n_tokens long, log_p double, docs binary, sums binary")
+        rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("docs").isNull())
+        found.append(stored(rows.mapInArrow(_added(inner), f"{text}n_tokens long, log_p double")))
         del blocks, rows
         _cleared(texts.sparkSession)
     return reduce(DataFrame.unionAll, found)
