@@ -3,10 +3,13 @@ from __future__ import annotations
 import math
 import pickle
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import crowded, prose
@@ -132,6 +135,70 @@ def test_shards_of_keys_and_of_columns_agree(spark, shards):
     assert [r[0] for r in rows] == quality.shard_of(keys, shards).tolist()
 
 
+def test_words_are_told_apart_by_their_bytes():
+    """Words as ``bytes.lower().split()`` cuts them, of all bytes and lengths, get the same hash if and only if they are the same."""
+    rng = random.Random(15)
+    texts = [b"", b" \n", bytes(range(256)), b"a\0 a a\0\0 A", bytes(70), b"\x1c\x85\xa0 \x0b\x0c x"]
+    texts += [b" ".join(bytes(rng.choice(b"aB\0\xc3") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 24, 31, 32, 33, 40, 200]))) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    words = [text.lower().split() for text in texts]
+    hashes, counts = quality._hashed(texts)
+    assert counts.tolist() == [len(x) for x in words] and len(hashes) == sum(map(len, words)) and hashes.min() >= 0
+    of = defaultdict(set)
+    for word, h in zip([w for x in words for w in x], hashes.tolist(), strict=True):
+        of[word].add(h)
+    assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+    known = np.sort(quality._hashed([b"b c"])[0])
+    numbers, starts = quality._numbers([b"", b"C zz b", b""], known)
+    b, c = (quality.FIRST + int(np.searchsorted(known, quality._hashed([x])[0][0])) for x in (b"b", b"c"))
+    assert numbers.tolist() == [1, 1, 2, 1, 1, c, quality.RARE, b, 2, 1, 1, 2] and starts.tolist() == [0, 3, 9]
+    assert quality._numbers([b"b c"], np.zeros(0, np.int64))[0].tolist() == [1, 1, quality.RARE, quality.RARE, 2]
+
+
+def test_numbering_costs_little_more_than_cutting():
+    """Words are numbered without an object each, and without a copy of the table of all words."""
+    rng = random.Random(16)
+    texts = [prose(rng, 400).encode() for _ in range(500)]
+    texts = [b" ".join(w + b"%d" % rng.randint(0, 99) for w in t.split()) for t in texts]
+    words = {w for t in texts for w in t.split()}
+    known = np.unique(np.random.default_rng(17).integers(0, 1 << 63, len(words)))
+
+    def seconds(run):
+        times = []
+        for _ in range(7):
+            begin = time.process_time()
+            run()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert seconds(lambda: quality._numbers(texts, known)) < 3 * seconds(lambda: [t.lower().split() for t in texts])
+    table = np.arange(2_000_000)
+    tracemalloc.start()
+    quality._numbers([b"a few words"], table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1_000_000
+
+
+@pytest.mark.parametrize("blocks", [1, 40])
+def test_blocks_are_looked_up_together(blocks):
+    """A shard's blocks in one batch give one batch of sums, a row for each block, whatever their number."""
+    pack = quality._pack
+    kept = pa.schema([("doc_id", pa.int64())])
+    pairs = np.arange(10, 20)
+    shard = [pairs, np.full(10, 0.5, "<f4"), np.ones(10, "<i4"), np.full(10, 3, "<i4"), np.full(10, 2.0, "<f4")]
+    rows = [dict(zip("abcde", map(pack, shard), strict=True)) | {"shard": 4, "kind": 0}]
+    for k in range(blocks):
+        block = {"a": np.array([19, 5, 10, 12]), "b": np.array([3, 3, 1, 3], "<i4"), "c": np.array([0, 0, 2, k + 3], "<i4")}
+        rows.append({x: pack(v) for x, v in block.items()} | {"shard": 4, "kind": 1, "chunk": k})
+    types = {"shard": pa.int32(), "kind": pa.int32(), "chunk": pa.int64(), "key": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "log_p": pa.float64()}
+    schema = pa.schema([*types.items(), *((x, pa.binary()) for x in "abcde")])
+    out = [b for b in quality._looked_up(kept)(iter([pa.RecordBatch.from_pylist(rows, schema)])) if b.num_rows]
+    assert len(out) == 1 and out[0].column("chunk").to_pylist() == list(range(blocks))
+    for k, row in enumerate(out[0].to_pylist()):
+        assert quality._unpack(row["docs"], "<i4").tolist() == [0, 2, k + 3]
+        assert quality._unpack(row["sums"], "<f8").tolist() == [2.5, 0.5, 2.5]
+
+
 def test_odd_rows(spark, odd_docs, empty_docs, corpus):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.judge(crowded(odd_docs), none).collect()
