@@ -248,7 +248,8 @@ for _name, (_sql, _make) in _GRAPHS.items():
 """.replace(") , w1", "), w1"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     e = edges(spark, folder)
-    ones = e.select("src").distinct().withColumn("n", F.lit(1).cast("long"))
+    # One for every end of an edge, also for those without an edge out: the first round counts all edges.
+    ones = e.select(F.col("dst").alias("src")).distinct().withColumn("n", F.lit(1).cast("long"))
 
     def step(w: DataFrame) -> DataFrame:
         return natural_join(e, w.withColumnRenamed("src", "dst")).groupBy("src").agg(F.sum("n").alias("n"))
