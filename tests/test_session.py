@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from weftline import functions as W
 from weftline.catalog import Catalog
 from weftline.errors import AlreadyExists, NoSuchObject, SyntaxProblem, WeftlineError
-from weftline.functions import FunctionRegistry
+from weftline.functions import FunctionRegistry, UserDefinedAggregate
 from weftline.operators import relational as R
 from weftline.operators.graph import EdgeMeta, Graph, NodeMeta
 from weftline.operators.iterate import recursive_union
 from weftline.operators.pattern import parse
+from weftline.queries.relational import SumOfSquares
 from weftline.session import Session
 from weftline.sources import load_graph_edges, load_tsv, matching_relation, undirected, write_tsv
 
@@ -240,3 +241,49 @@ def test_recursive_union_of_a_bag_is_bounded(spark):
     base = spark.createDataFrame([(1,)], "n long")
     assert recursive_union(base, lambda d: d, 3, distinct=False).count() == 4
     assert recursive_union(base, lambda d: d, 3).count() == 1
+
+
+class Longest(UserDefinedAggregate):
+    buffer_type, result_type = "bigint", "string"
+
+    def initialize(self):
+        return 0
+
+    def update(self, buffer, values):
+        return max([buffer, *values.dropna().str.len()])
+
+    def merge(self, buffer, other):
+        return max(buffer, other)
+
+    def evaluate(self, buffer):
+        return f"<{buffer}>"
+
+
+def test_aggregates_in_python_by_null_and_several_keys_and_none(spark):
+    rows = [(i % 7 or None, "ab"[i % 2], None if i % 5 == 0 else "x" * (i % 11)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, g string, t string").repartition(3)
+    want: dict = {}
+    for k, g, t in rows:
+        want[k, g] = max(want.get((k, g), 0), len(t or ""))
+    assert {(r.k, r.g): r.m for r in Longest().aggregate(df, ["k", "g"], "t", "m").collect()} == {k: f"<{v}>" for k, v in want.items()}
+    assert [r.m for r in Longest().aggregate(df, [], "t", "m").collect()] == ["<10>"]
+    assert Longest().aggregate(df.where("false"), ["k"], "t", "m").count() == 0
+
+
+def test_an_aggregate_is_not_called_for_each_key_of_each_batch(spark):
+    """30,000 rows of 3,000 keys in one task of 3 batches: all its keys are grouped together, not each batch's again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(SumOfSquares):
+        def update(self, buffer, values):
+            calls.add(1)
+            return super().update(buffer, values)
+
+        def update_groups(self, values, starts):
+            calls.add(1)
+            return super().update_groups(values, starts)
+
+    df = spark.range(0, 30_000, 1, 1).selectExpr("id % 3000 AS k", "CASE WHEN id % 4 <> 0 THEN CAST(id % 100 AS INT) END AS v")
+    got = {r.k: r.q for r in Counted().aggregate(df, ["k"], "v", "q").collect()}
+    assert got == {k: sum((i % 100) ** 2 for i in range(k, 30_000, 3000) if i % 4) for k in range(3000)}
+    assert calls.value <= 3

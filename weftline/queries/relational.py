@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -302,6 +303,10 @@ class SumOfSquares(UserDefinedAggregate):
         values = values.dropna().astype("int64")
         return buffer + int((values * values).sum())
 
+    def update_groups(self, values: pd.Series, starts: np.ndarray) -> list[int]:
+        whole = values.fillna(0).astype("int64").to_numpy()
+        return np.add.reduceat(whole * whole, starts).tolist()
+
     def merge(self, buffer: int, other: int) -> int:
         return buffer + int(other)
 
