@@ -85,6 +85,13 @@ def test_assigning_rounds_count_edges_to_nodes_without_an_edge_out(spark, tmp_pa
     assert same_as_sql(spark, con, tmp_path, "iterate_assign")
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["olap_O7", "olap_O9", "workload_W4_tree"])
+def test_joins_that_make_many_rows_use_all_cores(spark, name):
+    """The tables are files that one task reads each; the pairs must not all be made by it."""
+    assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_every_query_has_its_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 

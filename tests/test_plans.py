@@ -79,6 +79,23 @@ def test_key_first_order():
     assert multiway.key_first_order(tables, keys) == ["line", "orders", "customer", "nation"]
 
 
+def test_key_first_order_leaves_joins_that_add_rows_to_the_end():
+    tables = {"region": ["r"], "nation": ["r", "n"], "supplier": ["n", "s"], "customer": ["n", "c"], "orders": ["c", "o"]}
+    keys = {"region": ["r"], "nation": ["n"], "supplier": ["s"], "customer": ["c"], "orders": ["o"]}
+    assert multiway.key_first_order(tables, keys) == ["orders", "customer", "nation", "region", "supplier"]
+
+
+@pytest.mark.parametrize("most", [100, 3])
+def test_pairs_by_condition_and_by_common_columns(spark, most):
+    from weftline.operators.relational import pairs_join
+
+    a, b = spark.range(20).selectExpr("id AS x", "id % 3 AS k"), spark.range(10).selectExpr("id AS y", "id % 3 AS k")
+    got = sorted((r.x, r.y) for r in pairs_join(a, b, most=most).collect())
+    assert got == [(x, y) for x in range(20) for y in range(10) if x % 3 == y % 3]
+    got = sorted((r.x, r.y) for r in pairs_join(a.drop("k"), b.drop("k"), "x < y", most).collect())
+    assert got == [(x, y) for x in range(20) for y in range(10) if x < y]
+
+
 def test_counts_of_lesser_values(spark):
     rng = random.Random(3)
     left = [(rng.choice([None, rng.randint(-50, 50)]),) for _ in range(200)]
