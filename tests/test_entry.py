@@ -85,6 +85,18 @@ def test_assigning_rounds_count_edges_to_nodes_without_an_edge_out(spark, tmp_pa
     assert same_as_sql(spark, con, tmp_path, "iterate_assign")
 
 
+@pytest.mark.parametrize("number", ["G1I1_pagerank", "G1I2_components", "G1I3_shortest_hops", "G2I1_pagerank", "G2I2_components", "G2I3_shortest_hops"])
+def test_two_hop_analytics_without_the_two_hop_graph(spark, tmp_path, monkeypatch, number):
+    """Pairs of ends with several paths, and nodes without an edge out; only the count of several paths may build the paths, once."""
+    from weftline.operators import analytics
+
+    con = small_graph(tmp_path, 12, [(k, (k * k + k // 5) % 9) for k in range(60)])
+    built, two_hop = [], analytics.two_hop
+    monkeypatch.setattr(analytics, "two_hop", lambda *a, **k: built.append(1) or two_hop(*a, **k))
+    assert same_as_sql(spark, con, tmp_path, f"analytic_{number}")
+    assert len(built) == (number == "G2I1_pagerank")
+
+
 @needs_data
 @pytest.mark.parametrize("name", ["olap_O7", "olap_O9", "workload_W4_tree"])
 def test_joins_that_make_many_rows_use_all_cores(spark, name):

@@ -113,6 +113,16 @@ def test_two_hop_pagerank_step(graph, distinct):
     assert close(A.pagerank_step(weights([(i, 1.0) for i in range(1, 5)]), degree, two)) == {0: 2.275, 1: 0.575}
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+def test_two_hop_pagerank_by_edges(spark, distinct):
+    """Node 0 reaches 3, 4 and 5 over two nodes each; sums over edges less the second paths equal those over the pairs."""
+    edges = spark.createDataFrame([(0, 1), (0, 2), *[(m, d) for m in (1, 2) for d in (3, 4, 5)], (3, 0), (4, 0), (5, 1), (6, 0)], "src long, dst long")
+    two = A.two_hop(edges, distinct)
+    degree = two.groupBy("dst").agg((F.lit(1.0) / F.count(F.lit(1))).alias("degree"))
+    want = close(A.pagerank(two, degree, degree.select("dst", F.lit(1.0).alias("weight")), 3))
+    assert close(A.two_hop_pagerank(edges, 3, distinct)) == want and want
+
+
 def test_component_and_hop_steps(graph):
     edges, _, weights = graph
     assert close(A.min_label_step(weights([(i, float(i)) for i in range(1, 5)]), edges)) == {0: 1, 1: 2, 2: 3}

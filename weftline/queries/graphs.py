@@ -17,6 +17,7 @@ from weftline.operators.iterate import assign_rounds
 from weftline.operators.relational import natural_join
 from weftline.plans import multiway
 from weftline.plans.hypercube import hypercube_join
+from weftline.plans.materialize import stored
 from weftline.plans.multiway import Relation
 from weftline.queries.registry import query, session, table
 from weftline.sources import undirected
@@ -222,24 +223,35 @@ def _spread_sql(e: str, first: str, add: int) -> str:
 _LABELS = "SELECT src, min(dst) AS weight FROM g WHERE dst IN (SELECT src FROM g) GROUP BY src"
 _HOPS = "SELECT DISTINCT src, 1 AS weight FROM g WHERE dst = 0"
 _TWO = "SELECT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src"
-_GRAPHS = {
-    "I": ("SELECT * FROM e", edges),
-    "G1I": (_TWO, lambda spark, folder: A.two_hop(edges(spark, folder))),
-    "G2I": (f"SELECT DISTINCT * FROM ({_TWO})", lambda spark, folder: A.two_hop(edges(spark, folder), distinct=True)),
-}
+#: The graph's SQL, the edges of a step, and whether pairs of ends count once.
+_GRAPHS = {"I": ("SELECT * FROM e", 1, True), "G1I": (_TWO, 2, False), "G2I": (f"SELECT DISTINCT * FROM ({_TWO})", 2, True)}
 
 
-def _pagerank(g: DataFrame) -> DataFrame:
-    degree = g.groupBy("dst").agg((F.lit(1.0) / F.count(F.lit(1))).alias("degree"))
-    start = degree.select("dst", F.lit(1.0).alias("weight"))
+def _pagerank(g: DataFrame, hops: int, distinct: bool) -> DataFrame:
+    if hops == 2:
+        weights = A.two_hop_pagerank(g, PAGERANK_ROUNDS, distinct)
+    else:
+        degree = g.groupBy("dst").agg((F.lit(1.0) / F.count(F.lit(1))).alias("degree"))
+        weights = A.pagerank(g, degree, degree.select("dst", F.lit(1.0).alias("weight")), PAGERANK_ROUNDS)
     # The last bits of a sum hang on the order of its rows: without them, weights at half a millionth go up, as their exact values do.
-    return A.pagerank(g, degree, start, PAGERANK_ROUNDS).select("dst", F.round(F.round("weight", 12), 6).alias("weight"))
+    return weights.select("dst", F.round(F.round("weight", 12), 6).alias("weight"))
 
 
-for _name, (_sql, _make) in _GRAPHS.items():
-    query(f"analytic_{_name}1_pagerank", _pagerank_sql(_sql, PAGERANK_ROUNDS))(lambda spark, folder, make=_make: _pagerank(make(spark, folder)))
-    query(f"analytic_{_name}2_components", _spread_sql(_sql, _LABELS, 0))(lambda spark, folder, make=_make: A.components(make(spark, folder).distinct(), ROUNDS))
-    query(f"analytic_{_name}3_shortest_hops", _spread_sql(_sql, _HOPS, 1))(lambda spark, folder, make=_make: A.shortest_hops(make(spark, folder).distinct(), 0, ROUNDS))
+def _loop_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges, stored: every round reads them."""
+    return stored(edges(spark, folder))
+
+
+for _name, (_sql, _hops, _once) in _GRAPHS.items():
+    query(f"analytic_{_name}1_pagerank", _pagerank_sql(_sql, PAGERANK_ROUNDS))(
+        lambda spark, folder, hops=_hops, once=_once: _pagerank(_loop_edges(spark, folder), hops, once)
+    )
+    query(f"analytic_{_name}2_components", _spread_sql(_sql, _LABELS, 0))(
+        lambda spark, folder, hops=_hops: A.components(_loop_edges(spark, folder), ROUNDS, hops)
+    )
+    query(f"analytic_{_name}3_shortest_hops", _spread_sql(_sql, _HOPS, 1))(
+        lambda spark, folder, hops=_hops: A.shortest_hops(_loop_edges(spark, folder), 0, ROUNDS, hops)
+    )
 
 
 @query("iterate_assign", f"""
