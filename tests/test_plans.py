@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -73,6 +74,34 @@ def test_hypercube_join_keeps_multiplicities_and_drops_nulls(spark):
     assert got == sorted(tuple(r) for r in natural_join_all([a, b]).select("x", "y", "z").collect())
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+@pytest.mark.parametrize("far", [1, 1 << 58])
+def test_leapfrog_in_parts(most, far):
+    """Triangles with a unary relation and multiplicities, in parts of any size; with values too far apart for keys of 64 bits."""
+    rng = np.random.default_rng(2)
+    inputs = [(a, np.unique(rng.integers(-9, 9, (90, len(a))) * far, axis=0)) for a in ("ab", "bc", "ca", "c")]
+    inputs = [(a, rows, rng.integers(1, 4, len(rows))) for a, rows in inputs]
+    tables = [{tuple(r): n for r, n in zip(rows.tolist(), counts.tolist(), strict=True)} for _, rows, counts in inputs]
+    values = sorted({v for t in tables for r in t for v in r})
+    want = {}
+    for a, b in tables[0]:
+        for c in values:
+            if (b, c) in tables[1] and (c, a) in tables[2] and (c,) in tables[3]:
+                want[a, b, c] = tables[0][a, b] * tables[1][b, c] * tables[2][c, a] * tables[3][c,]
+    parts = list(hypercube.leapfrog_parts(inputs, "abc", most))
+    got = [(tuple(r), n) for rows, counts in parts for r, n in zip(rows.tolist(), counts.tolist(), strict=True)]
+    assert dict(got) == want and len(got) == len(want) > 10
+    assert hypercube.leapfrog([*inputs, ("a", np.zeros((0, 1), np.int64), np.zeros(0, np.int64))], "abc")[0].shape == (0, 3)
+
+
+def test_leapfrog_takes_no_step_of_python_for_each_value():
+    edges = np.unique(np.random.default_rng(5).integers(0, 100_000, (600_000, 2)), axis=0)
+    ones = np.ones(len(edges), np.int64)
+    began = time.process_time()
+    found, _ = hypercube.leapfrog([("ab", edges, ones), ("bc", edges, ones), ("ca", edges, ones)], "abc")
+    assert time.process_time() - began < 20 and len(found) > 0
+
+
 def test_key_first_order():
     tables = {"line": ["o", "p"], "orders": ["o", "c"], "customer": ["c", "n"], "nation": ["n"]}
     keys = {"orders": ["o"], "customer": ["c"], "nation": ["n"]}

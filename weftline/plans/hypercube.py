@@ -15,8 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.materialize import stored
+
 #: Rows that a cell may receive before more cells are used.
 CELL_ROWS = 4_000_000
+#: Candidates that a cell's join makes at once.
+PART_ROWS = 1 << 20
 
 
 def load(relations: Sequence[tuple[frozenset[str], float]], shares: Mapping[str, int]) -> float:
@@ -81,44 +85,94 @@ def dealt(frame: DataFrame, attributes: Sequence[str], shares: Mapping[str, int]
     return out.withColumn("_cell", cell(values, shares)).select("_cell", *frame.columns)
 
 
-def leapfrog(relations: Sequence[tuple[Sequence[str], np.ndarray, np.ndarray]], order: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The natural join of sorted relations, attribute by attribute, and each result's multiplicity.
+def _trie(rows: np.ndarray, span: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The levels of sorted distinct rows of values below ``span``: keys ``parent * span + value``, and where each parent's begin."""
+    levels, parent, parents = [], np.zeros(len(rows), np.int64), 1
+    for c in range(rows.shape[1]):
+        own = parent * span + rows[:, c]
+        new = np.diff(own, prepend=-1) != 0
+        keys = own[new]
+        levels.append((keys, np.searchsorted(keys, np.arange(parents + 1) * span)))
+        parent, parents = np.cumsum(new) - 1, len(keys)
+    return levels
+
 
-    A relation is its attributes, its distinct rows and their multiplicities.  At each attribute the values
-    that all its relations hold under the present prefix are intersected.
+def leapfrog_parts(
+    relations: Sequence[tuple[Sequence[str], np.ndarray, np.ndarray]], order: Sequence[str], most: int = PART_ROWS
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The natural join of relations, attribute by attribute, and each result's multiplicity, in parts.
+
+    A relation is its attributes, its distinct rows and their multiplicities.  At each attribute every prefix is extended by the
+    values of the relation that holds the fewest under it, which are then looked up in the others.  All prefixes of a part are
+    worked on at once; a part makes ``most`` candidates at most, or as many as one prefix has.
     """
-    sorted_: list[tuple[list[str], np.ndarray, np.ndarray]] = []
-    for attributes, rows, counts in relations:
+    held = [rows for _, rows, _ in relations if len(rows)]
+    if len(held) < len(relations):
+        return
+    low, high = min(int(r.min()) for r in held), max(int(r.max()) for r in held)
+    span, codes = high - low + 1, None
+    if span * (max(map(len, held)) + 1) >= 1 << 62:  # keys must be whole numbers of 64 bits: values by their rank
+        codes = np.unique(np.concatenate([r.ravel() for r in held]))
+        span = len(codes)
+    tries, many, at_depth = [], [], [[] for _ in order]
+    for k, (attributes, rows, counts) in enumerate(relations):
         names = [a for a in order if a in attributes]
-        columns = [list(attributes).index(a) for a in names]
-        rows = rows[:, columns]
-        by = np.lexsort(rows.T[::-1]) if len(rows) else np.arange(0)
-        sorted_.append((names, rows[by], counts[by]))
-    found: list[tuple] = []
-    many: list[int] = []
-
-    def search(depth: int, prefix: tuple, ranges: list[tuple[int, int]]) -> None:
+        rows = rows[:, [list(attributes).index(a) for a in names]]
+        rows = rows - low if codes is None else np.searchsorted(codes, rows)
+        by = np.lexsort(rows.T[::-1])
+        tries.append(_trie(rows[by], span))
+        many.append(counts[by])
+        for c, a in enumerate(names):
+            at_depth[list(order).index(a)].append((k, c))
+
+    def extended(depth: int, prefix: np.ndarray, nodes: np.ndarray, k: int, c: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, begin = tries[k][c]
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        found = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[nodes[k]][of]
+        value, looked = keys[found] % span, {k: found}
+        for j, d in at_depth[depth]:
+            if j == k:
+                continue
+            others = tries[j][d][0]
+            key = nodes[j][of] * span + value
+            place = np.minimum(np.searchsorted(others, key), len(others) - 1)
+            kept = np.flatnonzero(others[place] == key)
+            of, value, looked = of[kept], value[kept], {i: p[kept] for i, p in looked.items()} | {j: place[kept]}
+        after = nodes[:, of]
+        for j, p in looked.items():
+            after[j] = p
+        return np.vstack([prefix[:, of], value[None]]), after
+
+    def search(depth: int, prefix: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if depth == len(order):
-            found.append(prefix)
-            many.append(prod(int(c[lo]) for (_, _, c), (lo, _) in zip(sorted_, ranges, strict=True)))
-            return
-        a = order[depth]
-        at = [(k, names.index(a)) for k, (names, _, _) in enumerate(sorted_) if a in names]
-        columns = [sorted_[k][1][ranges[k][0] : ranges[k][1], c] for k, c in at]
-        columns_sorted = sorted(columns, key=len)
-        values = reduce(lambda x, y: x[np.isin(x, y)], columns_sorted[1:], np.unique(columns_sorted[0]))
-        if not len(values):
+            out = np.ones(prefix.shape[1], np.int64)
+            for k, counts in enumerate(many):
+                out *= counts[nodes[k]]
+            yield (prefix.T + low if codes is None else codes[prefix.T]), out
             return
-        lows = [np.searchsorted(col, values, "left") for col in columns]
-        highs = [np.searchsorted(col, values, "right") for col in columns]
-        for i, v in enumerate(values.tolist()):
-            narrowed = list(ranges)
-            for (k, _), lo, hi in zip(at, lows, highs, strict=True):
-                narrowed[k] = (ranges[k][0] + int(lo[i]), ranges[k][0] + int(hi[i]))
-            search(depth + 1, (*prefix, v), narrowed)
+        here = at_depth[depth]
+        sizes = np.array([tries[k][c][1][nodes[k] + 1] - tries[k][c][1][nodes[k]] for k, c in here])
+        which, least = sizes.argmin(0), sizes.min(0)
+        for n, (k, c) in enumerate(here):
+            mine = np.flatnonzero((which == n) & (least > 0))
+            total = np.cumsum(least[mine])
+            start = 0
+            while start < len(mine):
+                done = total[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(total, done + most, "right")))
+                part = mine[start:end]
+                longer, after = extended(depth, prefix[:, part], nodes[:, part], k, c, least[part])
+                if longer.shape[1]:
+                    yield from search(depth + 1, longer, after)
+                start = end
+
+    yield from search(0, np.zeros((0, 1), np.int64), np.zeros((len(relations), 1), np.int64))
 
-    search(0, (), [(0, len(r)) for _, r, _ in sorted_])
-    return np.array(found, np.int64).reshape(-1, len(order)), np.array(many, np.int64)
+
+def leapfrog(relations: Sequence[tuple[Sequence[str], np.ndarray, np.ndarray]], order: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All parts of :func:`leapfrog_parts` together."""
+    parts = list(leapfrog_parts(relations, order)) or [(np.zeros((0, len(order)), np.int64), np.zeros(0, np.int64))]
+    return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def hypercube_join(relations: Sequence[DataFrame], tasks: int | None = None, order: Sequence[str] | None = None, budget: float = CELL_ROWS) -> DataFrame:
@@ -130,20 +184,24 @@ def hypercube_join(relations: Sequence[DataFrame], tasks: int | None = None, ord
     """
     spark = relations[0].sparkSession
     names = list(order or dict.fromkeys(c for r in relations for c in r.columns))
-    counted = [r.dropna().groupBy(*r.columns).agg(F.count(F.lit(1)).alias("_n")) for r in relations]
+    # Stored, as they are read twice: counted and dealt.
+    counted = [stored(r.dropna().groupBy(*r.columns).agg(F.count(F.lit(1)).alias("_n"))) for r in relations]
     sizes = [(tuple(r.columns), float(c.count())) for r, c in zip(relations, counted, strict=True)]
     shares = optimal_shares(sizes, tasks or spark.sparkContext.defaultParallelism, budget=budget)
-    rows = [
-        dealt(c, r.columns, shares).select("_cell", F.lit(k).alias("_r"), F.array(*[F.col(a).cast("long") for a in r.columns]).alias("_v"), "_n")
-        for k, (r, c) in enumerate(zip(relations, counted, strict=True))
-    ]
+    most = max(len(r.columns) for r in relations)
+
+    def flat(k: int, r: DataFrame) -> list[Column]:
+        values = [F.col(a).cast("long") for a in r.columns] + [F.lit(0).cast("long")] * (most - len(r.columns))
+        return [F.lit(k).alias("_r"), *[v.alias(f"_v{i}") for i, v in enumerate(values)]]
+
+    rows = [dealt(c, r.columns, shares).select("_cell", *flat(k, r), "_n") for k, (r, c) in enumerate(zip(relations, counted, strict=True))]
     attributes = [tuple(r.columns) for r in relations]
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         inputs = []
         for k, a in enumerate(attributes):
             own = pdf[pdf["_r"] == k]
-            inputs.append((a, np.array(own["_v"].tolist(), np.int64).reshape(-1, len(a)), own["_n"].to_numpy(np.int64)))
+            inputs.append((a, own[[f"_v{i}" for i in range(len(a))]].to_numpy(np.int64), own["_n"].to_numpy(np.int64)))
         found, many = leapfrog(inputs, names)
         out = pd.DataFrame(found, columns=names)
         out["_n"] = many

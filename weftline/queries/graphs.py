@@ -194,7 +194,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("multiway_hypercube_leapfrog", f"{_E}SELECT * FROM {_shape_sql('S1')}")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    return hypercube_join(copies(edges(spark, folder), SHAPES["S1"]), order=list("abc"))
+    return hypercube_join(copies(stored(edges(spark, folder)), SHAPES["S1"]), order=list("abc"))
 
 
 # -- iterative analytics
