@@ -42,6 +42,14 @@ def test_join_orders_close_cycles_first():
     assert sorted(hypergraph.join_order(edges("ab bc cd de ef fg gh ha ac"))) == list(range(9))
 
 
+def test_a_key_table_does_not_change_the_order():
+    """A table of keys or weights filters nothing: it is joined last, and the cycle is closed first."""
+    house = "ab bc cd de ae be".split()
+    order = [[*house, "d"][i] for i in hypergraph.join_order(edges("ab bc cd de ae be d"))]
+    assert order[-1] == "d" and set(order[:3]) == {"ab", "ae", "be"}
+    assert hypergraph.elimination_order(edges("ab bc cd de ae be d"), "a")[0] == "b"
+
+
 def test_random_sums_against_full_joins(spark):
     """Counts and weighted sums by elimination equal those over the joined rows, duplicates and all."""
     rng = random.Random(1)
